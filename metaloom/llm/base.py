@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context, so that tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_metaloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        out = Path(tempfile.mkdtemp(prefix="metaloom-")) / "metaloom.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(out))
+    sc._metaloom_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Before Python runs on the executors: the package is there, and batches hold few rows."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.fingerprint import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.decontam import contaminated
 
@@ -27,6 +33,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.bpe import encoded
 
@@ -69,9 +81,29 @@ GROUP BY ds.doc_id, bs.item_id, n.n HAVING CAST(count(*) AS DOUBLE) / n.n >= 0.8
 """
 
 
+#: SHA-1 digests in base32, made of the hex digits in groups of five bits.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+bits AS (
+  SELECT page_id, n, h,
+    array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(strpos('0123456789abcdef', h[i]) - 1), 4)), '') AS bits
+  FROM d),
+named AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(list_sum(list_transform(range(0, 5), lambda j: CASE WHEN bits[5 * i + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END)) AS INT) + 1, 1)), '') AS digest
+  FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY digest) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < max(page_id) OVER (PARTITION BY digest) THEN max(page_id) OVER (PARTITION BY digest) END AS refers_to
+FROM named
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL}
