@@ -21,6 +21,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.toxicity import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.linededup import line_dedup
 
