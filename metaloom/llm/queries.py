@@ -46,6 +46,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.htmlcrf import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.bpe import encoded
 
