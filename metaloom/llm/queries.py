@@ -40,12 +40,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.fmindex import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.warc import archived
 
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op8_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.lpf import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from metaloom.llm.htmlcrf import extracted
 
