@@ -12,8 +12,8 @@ Fingerprints are made unique first, so thousands of copies are one row.  A key u
 fingerprints meet is cut in blocks, and each pair of blocks is a group of its own, so no group outgrows a task.  A
 group does not return its pairs but a spanning forest of their links; the components are the same.
 
-Results for odd input.  A null, empty or blank text has fingerprint zero, which is linked like any other.  Repeated
-rows and rows with one doc_id are separate rows with their own fingerprints.  A null doc_id counts as the smallest
+Results for odd input.  A null, empty or blank text has fingerprint zero, which is linked like any other.  Each row
+has its own fingerprint; rows with one doc_id are one node, so their fingerprints are in one component.  A null doc_id counts as the smallest
 id, and its component is null.  Other columns are ignored.  An empty table gives an empty result.
 """
 
@@ -175,3 +175,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = nodes.join(labels, nodes["id"] == labels["node"], "left").select("fp", F.coalesce("label", "id").alias("component"))
     both = fps.join(named, "fp")
     return both.select(real_id("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component the document with the smallest id, as it is; rows that repeat its id and text are one."""
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.select(known_id().alias("__id")).distinct()
+    rows = docs.withColumn("__id", known_id()).withColumn("__row", F.xxhash64("text"))
+    return rows.join(keep, "__id", "left_semi").dropDuplicates(["__id", "__row"]).select(docs.columns)

@@ -289,10 +289,11 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFram
     """The documents that score below the threshold, as they are."""
     grammar = train(docs, labels)
     small_batches(docs.sparkSession)
+    state: dict = {}
 
-    def run(batches):
-        lexicon = grammar.lexicon()
-        for pdf in batches:
-            yield pdf[[score(t, grammar, lexicon) < threshold for t in pdf["text"]]]
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        lexicon = state.setdefault("lexicon", None) or state.update(lexicon=grammar.lexicon()) or state["lexicon"]
+        return pd.Series([score(t, grammar, lexicon) for t in texts], dtype=float)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(toxic(F.col("text").cast("string")) < threshold)
