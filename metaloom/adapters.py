@@ -58,8 +58,8 @@ FROM (SELECT caller AS id FROM g_callsites UNION SELECT callee FROM g_callsites
 SELECT DISTINCT 'U' || user_id || '.D' || day(ts) AS src, 'Catalog.C' || (user_id + 1) AS dst, event_type AS via,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'read' END AS access FROM events""",
     "g_facts": """
-SELECT CAST(user_id AS VARCHAR(20)) AS key, event_type AS kind, event_id AS seq, round(1.0 - (event_id % 10) / 20.0, 3) AS confidence
-FROM events WHERE event_id < 300""",
+SELECT 'U' || user_id || '.' || day(ts) || '.' || CAST(floor(value / 40) AS INT) AS key, event_type AS kind, event_id AS seq,
+  CAST(20 - event_id % 10 AS INT) AS confidence FROM events""",
     "tool_calls": """
 SELECT event_id AS id, 'srv' || CAST(user_id % 5 AS INT) AS server_name, event_type AS tool_name, ts, value AS duration_ms,
   event_type <> 'error' AS success FROM events""",

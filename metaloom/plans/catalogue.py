@@ -1,6 +1,6 @@
 """Imports every operator module, so that the registry is complete."""
 
-from metaloom.operators import graph, stats, traverse  # noqa: F401
+from metaloom.operators import graph, incremental, stats, telemetry, traverse  # noqa: F401
 from metaloom.operators.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
