@@ -39,7 +39,10 @@ class Kind:
     grams: Callable[[np.ndarray], np.ndarray]
     #: Of (symbols, starts and ends of segments, document of each segment): the smallest document for each window.
     index: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-    dtype: type
+    #: Symbols as bytes of a fixed width, and back.
+    width: int
+    packed: Callable[[np.ndarray], bytes]
+    unpacked: Callable[[bytes], np.ndarray]
 
 
 def segments(kind: Kind, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,7 +71,7 @@ def rows_for(docs: DataFrame) -> DataFrame:
 
 
 def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(doc, row, found): for each row with repeats, its found segments as struct(start, hit of each window)."""
+    """(doc, row, starts, counts): for each row with repeats, the runs of windows that are repeats."""
     spark = rows.sparkSession
     small_batches(spark)
 
@@ -89,16 +92,23 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     wanted = anchors.join(saved(shared, "shared"), "anchor").groupBy("doc", "row").agg(F.collect_set("anchor").alias("wanted"))
 
     def segment_rows(batches):
+        size, digest = kind.width, xxhash.xxh64_intdigest
         for pdf in batches:
-            out = []
+            keys, seen, data, docs, rows_, starts = [], [], [], [], [], []
             for doc, row, text, wanted in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["wanted"], strict=True):
                 symbols, keep = kind.symbols(text), np.sort(np.asarray(wanted, np.int64).view(np.uint64))
+                raw = kind.packed(symbols)
                 for anchor, first, end in segments(kind, symbols):
-                    k = np.minimum(np.searchsorted(keep, anchor), len(keep) - 1)
-                    for i in np.flatnonzero(keep[k] == anchor):
-                        data = symbols[first[i] : end[i] + kind.window - 1].tobytes()
-                        out.append((anchor[i].view(np.int64), xxhash.xxh64_intdigest(data) - (1 << 63), data, doc, row, first[i]))
-            yield pd.DataFrame(out, columns=["anchor", "segment", "data", "doc", "row", "start"])
+                    at = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, anchor), len(keep) - 1)] == anchor)
+                    parts = [raw[a:b] for a, b in zip((first[at] * size).tolist(), ((end[at] + kind.window - 1) * size).tolist(), strict=True)]
+                    keys.append(anchor[at].view(np.int64))
+                    seen += [digest(x) - (1 << 63) for x in parts]
+                    data += parts
+                    docs.append(np.full(len(at), doc))
+                    rows_.append(np.full(len(at), row))
+                    starts.append(first[at])
+            if data:
+                yield pd.DataFrame({"anchor": np.concatenate(keys), "segment": seen, "data": data, "doc": np.concatenate(docs), "row": np.concatenate(rows_), "start": np.concatenate(starts)})
 
     held = rows.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
     found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, data binary, doc long, row long, start long"), "segments")
@@ -107,8 +117,8 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "anchor", "segment"])
-        lengths = pdf["data"].str.len().to_numpy() // np.dtype(kind.dtype).itemsize
-        symbols = np.frombuffer(b"".join(pdf["data"]), kind.dtype)
+        lengths = pdf["data"].str.len().to_numpy() // kind.width
+        symbols = kind.unpacked(b"".join(pdf["data"]))
         least = kind.index(symbols, lengths, pdf["doc"].to_numpy())
         cut = np.cumsum(lengths - kind.window + 1)[:-1]
         return pd.DataFrame({"anchor": pdf["anchor"], "segment": pdf["segment"], "least": np.split(least, cut)})
@@ -117,14 +127,14 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
         rest, size = [], 0
         for pdf in batches:
             rest.append(pdf)
-            size += int(pdf["data"].str.len().sum()) // np.dtype(kind.dtype).itemsize
+            size += int(pdf["data"].str.len().sum()) // kind.width
             if size >= SHARD_SYMBOLS:  # a shard ends where an anchor ends
                 pdf = pd.concat(rest, ignore_index=True)
                 done = pdf["anchor"] != pdf["anchor"].iloc[-1]
                 if done.any():
                     yield indexed(pdf[done])
                 rest = [pdf[~done]]
-                size = int(rest[0]["data"].str.len().sum()) // np.dtype(kind.dtype).itemsize
+                size = int(rest[0]["data"].str.len().sum()) // kind.width
         if rest:
             pdf = pd.concat(rest, ignore_index=True)
             if len(pdf):
@@ -133,15 +143,19 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     least = saved(unique.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>"), "least")
     hit = found.select("anchor", "segment", "doc", "row", "start").join(least, ["anchor", "segment"])
     hit = hit.filter(F.array_min("least") < F.col("doc"))
-    hit = hit.select("doc", "row", F.struct("start", F.transform("least", lambda x: x < F.col("doc")).alias("hits")).alias("found"))
-    return hit.groupBy("doc", "row").agg(F.collect_list("found").alias("found"))
+    # A run of windows that are all repeats is one pair of start and count; in other segments each window is one.
+    whole = F.array(F.struct(F.col("start").alias("at"), F.size("least").alias("n")))
+    each = F.transform("least", lambda x, i: F.when(x < F.col("doc"), F.struct((F.col("start") + i).alias("at"), F.lit(1).alias("n"))))
+    runs = F.when(F.array_max("least") < F.col("doc"), whole).otherwise(F.filter(each, lambda x: x.isNotNull()))
+    hit = hit.select("doc", "row", F.explode(runs).alias("run"))
+    lists = hit.groupBy("doc", "row").agg(F.collect_list("run").alias("runs"))
+    return lists.select("doc", "row", F.col("runs.at").alias("starts"), F.col("runs.n").alias("counts"))
 
 
-def covered(kind: Kind, n: int, found) -> np.ndarray:
+def covered(kind: Kind, n: int, starts, counts) -> np.ndarray:
     """Which of n symbols stand in a repeated window."""
-    edge = np.zeros(n + 1, np.int64)
-    for x in found if found is not None else ():
-        starts = np.flatnonzero(x["hits"]) + int(x["start"])
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + kind.window, -1)
+    if starts is None:
+        return np.zeros(n, bool)
+    starts = np.asarray(starts, np.int64)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + np.asarray(counts, np.int64) + kind.window - 1, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -24,7 +24,7 @@ from metaloom.llm.anchors import Kind, covered, repeats, rows_for
 from metaloom.llm.base import MIX_A, mixed, real_id, utf8
 from metaloom.llm.lpf import dense, window_starts
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM, WIDTH = 13, 4, 6
 #: Positions that are searched at once.
 BATCH = 1 << 16
 
@@ -89,14 +89,22 @@ class FMIndex:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=len(symbols)))])[:-1]
 
     def search(self, sequence: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of suffixes that begin with the window words from each start."""
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        """The intervals of suffixes that begin with the window words from each start.
+
+        The words are in the index themselves.  An interval of one suffix is the place that the words come from, so its
+        search ends there, with an empty interval.
+        """
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        live = np.arange(len(starts))
+        lo, hi = low.copy(), np.full(len(starts), self.n, np.int64)
         for k in range(window - 1, -1, -1):
-            c = sequence[starts + k]
+            c = sequence[starts[live] + k]
             lo, hi = self.tree.ranks(c.astype(np.uint32), lo, hi)
             shift = self.starts[c] - self.leaf[c]
-            lo, hi = lo + shift, hi + shift
-        return lo, hi
+            more = hi - lo > 1
+            live, lo, hi = live[more], (lo + shift)[more], (hi + shift)[more]
+        low[live], high[live] = lo, hi
+        return low, high
 
 
 def earliest(words: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -107,34 +115,46 @@ def earliest(words: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: i
     owner = np.repeat(docs, lengths + 1)
     index = FMIndex(sequence, window)
     starts = window_starts(lengths, window) + np.repeat(np.arange(len(lengths)), lengths - window + 1)
+    out = owner[starts]
     owner = owner[index.suffixes]
-    out = np.empty(len(starts), np.int64)
     for k in range(0, len(starts), BATCH):
         lo, hi = index.search(sequence, starts[k : k + BATCH], window)
-        # Intervals of windows of one length are equal or disjoint.
-        lo, at = np.unique(lo, return_inverse=True)
-        top = np.zeros(len(lo), np.int64)
-        top[at] = hi
-        ends = np.stack([lo, top], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), ends)[::2]
-        out[k : k + BATCH] = least[at]
+        some = np.flatnonzero(hi > lo)
+        if len(some):
+            # Intervals of windows of one length are equal or disjoint.
+            low, at = np.unique(lo[some], return_inverse=True)
+            high = np.zeros(len(low), np.int64)
+            high[at] = hi[some]
+            ends = np.stack([low, high], axis=1).ravel()
+            out[k + some] = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), ends)[::2][at]
     return out
 
 
-KIND = Kind(WINDOW, GRAM, word_symbols, word_grams, earliest, np.uint64)
+def packed_words(words: np.ndarray) -> bytes:
+    """Six bytes of each word's hash: words are only compared below one anchor, which has hashed them in full."""
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+
+
+def unpacked_words(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
+KIND = Kind(WINDOW, GRAM, word_symbols, word_grams, earliest, WIDTH, packed_words, unpacked_words)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each text without the words of repeated windows."""
     rows = rows_for(docs)
-    both = rows.join(repeats(rows, KIND), ["doc", "row"], "left").select("doc", "text", "found")
+    both = rows.join(repeats(rows, KIND), ["doc", "row"], "left").select("doc", "text", "starts", "counts")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for doc, text, found in zip(pdf["doc"], pdf["text"], pdf["found"], strict=True):
+            for doc, text, starts, counts in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["counts"], strict=True):
                 words = utf8(text).split()
-                gone = covered(KIND, len(words), found)
+                gone = covered(KIND, len(words), starts, counts)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
                 out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_sha256"])

@@ -103,20 +103,20 @@ def lpf(data: bytes) -> list[int]:
     return out
 
 
-KIND = Kind(WINDOW, GRAM, byte_symbols, byte_grams, earliest, np.uint8)
+KIND = Kind(WINDOW, GRAM, byte_symbols, byte_grams, earliest, 1, np.ndarray.tobytes, lambda raw: np.frombuffer(raw, np.uint8))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each text without the bytes of repeated windows."""
     rows = rows_for(docs)
-    both = rows.join(repeats(rows, KIND), ["doc", "row"], "left").select("doc", "text", "found")
+    both = rows.join(repeats(rows, KIND), ["doc", "row"], "left").select("doc", "text", "starts", "counts")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for doc, text, found in zip(pdf["doc"], pdf["text"], pdf["found"], strict=True):
+            for doc, text, starts, counts in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["counts"], strict=True):
                 data = byte_symbols(text)
-                gone = covered(KIND, len(data), found)
+                gone = covered(KIND, len(data), starts, counts)
                 spans = int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum())
                 out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
