@@ -7,6 +7,8 @@ are made unique, so copies become one row with their smallest document, and are
 of each shard gives, for each window of a segment, the smallest document that holds it.  A document's window is a
 repeat if that document is smaller.
 
+Texts that are whole copies of a smaller document's are found by their hash beforehand: all their windows are repeats.
+
 Every step is a shuffle on anchors, segments or documents with partial aggregation; no step meets all pairs, and a
 shard holds the different segments of whole anchors up to about ``SHARD_SYMBOLS`` symbols.
 """
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import known_id, partitions, saved, small_batches
+from metaloom.llm.base import discard, known_id, partitions, saved, small_batches
 
 #: Symbols that are scanned at a time, and of one shard's index.
 SLICE, SHARD_SYMBOLS = 1 << 19, 1 << 19
@@ -65,13 +67,20 @@ def segments(kind: Kind, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def rows_for(docs: DataFrame) -> DataFrame:
-    """(doc, row, text); row tells rows with one id apart."""
+    """(doc, row, text); row, a hash of the text, tells rows with one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(known_id().alias("doc"), text.alias("text")).withColumn("row", F.xxhash64("doc", "text"))
+    return docs.select(known_id().alias("doc"), text.alias("text")).withColumn("row", F.hash("text"))
+
+
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(doc, row) of texts that a smaller document has as a whole; only hashes of the texts move."""
+    marked = saved(rows.select("doc", "row", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h")), "hashes")
+    first = marked.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h", "lo")
+    return saved(marked.join(first, "h").filter("doc > lo").select("doc", "row").distinct(), "copies")
 
 
 def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(doc, row, starts, counts): for each row with repeats, the runs of windows that are repeats."""
+    """(doc, row, starts, counts): for each row with repeats, the runs of windows that are repeats; a count of -1: all."""
     spark = rows.sparkSession
     small_batches(spark)
 
@@ -87,9 +96,14 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
             if out:
                 yield pd.DataFrame({"anchor": np.concatenate(out).view(np.int64), "doc": np.concatenate(docs), "row": np.concatenate(rows_)})
 
-    anchors = saved(rows.select("doc", "row", "text").mapInPandas(anchor_rows, "anchor long, doc long, row long"), "anchors")
+    anchors = saved(rows.select("doc", "row", "text").mapInPandas(anchor_rows, "anchor long, doc long, row int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = anchors.join(saved(shared, "shared"), "anchor").groupBy("doc", "row").agg(F.collect_set("anchor").alias("wanted"))
+    shared = saved(shared, "shared")
+    wanted = anchors.join(shared, "anchor").groupBy("doc", "row").agg(F.collect_list("anchor").alias("wanted"))
+    # Whole copies of a smaller document are all repeats; their segments need no second look.
+    copies = whole_copies(rows)
+    wanted = saved(wanted.join(copies, ["doc", "row"], "left_anti"), "wanted")
+    discard(anchors, shared)
 
     def segment_rows(batches):
         size, digest = kind.width, xxhash.xxh64_intdigest
@@ -111,9 +125,10 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
                 yield pd.DataFrame({"anchor": np.concatenate(keys), "segment": seen, "data": data, "doc": np.concatenate(docs), "row": np.concatenate(rows_), "start": np.concatenate(starts)})
 
     held = rows.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
-    found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, data binary, doc long, row long, start long"), "segments")
-    unique = found.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.first("data").alias("data"))
-    unique = unique.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
+    found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, data binary, doc long, row int, start long"), "segments")
+    discard(wanted)
+    unique = saved(found.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.first("data").alias("data")), "unique")
+    dealt = unique.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "anchor", "segment"])
@@ -140,7 +155,8 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
             if len(pdf):
                 yield indexed(pdf)
 
-    least = saved(unique.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>"), "least")
+    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>"), "least")
+    discard(unique)
     hit = found.select("anchor", "segment", "doc", "row", "start").join(least, ["anchor", "segment"])
     hit = hit.filter(F.array_min("least") < F.col("doc"))
     # A run of windows that are all repeats is one pair of start and count; in other segments each window is one.
@@ -149,13 +165,17 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     runs = F.when(F.array_max("least") < F.col("doc"), whole).otherwise(F.filter(each, lambda x: x.isNotNull()))
     hit = hit.select("doc", "row", F.explode(runs).alias("run"))
     lists = hit.groupBy("doc", "row").agg(F.collect_list("run").alias("runs"))
-    return lists.select("doc", "row", F.col("runs.at").alias("starts"), F.col("runs.n").alias("counts"))
+    lists = lists.select("doc", "row", F.col("runs.at").alias("starts"), F.col("runs.n").alias("counts"))
+    every = copies.select("doc", "row", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(-1)).alias("counts"))
+    return saved(lists.union(every), "runs")
 
 
 def covered(kind: Kind, n: int, starts, counts) -> np.ndarray:
     """Which of n symbols stand in a repeated window."""
     if starts is None:
         return np.zeros(n, bool)
-    starts = np.asarray(starts, np.int64)
-    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + np.asarray(counts, np.int64) + kind.window - 1, minlength=n + 1)
+    starts, counts = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
+    if counts[0] < 0:  # all windows
+        return np.full(n, n >= kind.window)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + counts + kind.window - 1, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -34,11 +35,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again.
 
-    This cuts the lineage: later stages, also after a lost executor, read the table and compute nothing twice.
+    This cuts the lineage: later stages, also after a lost executor, read the table and compute nothing twice.  The
+    driver then collects its garbage, so that Spark deletes the shuffle files of the job that is over.
     """
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._metaloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._metaloom_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -55,6 +55,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     # A first step makes one row of a line's repeats in a document; the second counts documents.
     once = seen.groupBy("hash", "doc", "row").agg(F.lit(1).alias("one"))
     common = once.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
+    # As a table of its own, the join has two exchanges, and Spark can split the lines that very many documents hold.
+    common = saved(common, "common")
     gone = seen.join(common.select("hash", "last"), "hash").filter(F.col("doc") < F.col("last"))
     word = (F.col("pos") / WORD).cast("int")
     bit = F.expr(f"shiftleft(1L, pos % {WORD})")

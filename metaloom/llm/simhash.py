@@ -153,7 +153,9 @@ def _linked(batches):
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between different fingerprints, with the components of all links of 3 bits or fewer."""
     small_batches(fps.sparkSession, 10_000)
-    keys = fps.select("fp").distinct().mapInPandas(_keys, "key long, own boolean, fp long")
+    # A few bytes of fingerprints become many of keys: dealt out evenly first.
+    unique = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), "fp")
+    keys = unique.mapInPandas(_keys, "key long, own boolean, fp long")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
     # A key with a single fingerprint, or with flips only, links nothing.
     sizes = sizes.filter((F.col("n") > 1) & (F.col("n_own") > 0))
