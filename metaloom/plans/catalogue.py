@@ -1,6 +1,6 @@
 """Imports every operator module, so that the registry is complete."""
 
-from metaloom.operators import code, graph, incremental, search, stats, telemetry, traverse  # noqa: F401
+from metaloom.operators import code, graph, incremental, queries, search, stats, telemetry, traverse  # noqa: F401
 from metaloom.operators.registry import QUERIES, SQL
 from metaloom.streaming import events  # noqa: F401
 
