@@ -108,26 +108,44 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     def segment_rows(batches):
         size, digest = kind.width, xxhash.xxh64_intdigest
         for pdf in batches:
-            keys, seen, data, docs, rows_, starts = [], [], [], [], [], []
+            keys, seen, docs, rows_, starts, lengths = [], [], [], [], [], []
             for doc, row, text, wanted in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["wanted"], strict=True):
                 symbols, keep = kind.symbols(text), np.sort(np.asarray(wanted, np.int64).view(np.uint64))
                 raw = kind.packed(symbols)
                 for anchor, first, end in segments(kind, symbols):
                     at = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, anchor), len(keep) - 1)] == anchor)
-                    parts = [raw[a:b] for a, b in zip((first[at] * size).tolist(), ((end[at] + kind.window - 1) * size).tolist(), strict=True)]
+                    first, stop = first[at], end[at] + kind.window - 1
+                    seen += [digest(raw[a:b]) - (1 << 63) for a, b in zip((first * size).tolist(), (stop * size).tolist(), strict=True)]
                     keys.append(anchor[at].view(np.int64))
-                    seen += [digest(x) - (1 << 63) for x in parts]
-                    data += parts
                     docs.append(np.full(len(at), doc))
                     rows_.append(np.full(len(at), row))
-                    starts.append(first[at])
-            if data:
-                yield pd.DataFrame({"anchor": np.concatenate(keys), "segment": seen, "data": data, "doc": np.concatenate(docs), "row": np.concatenate(rows_), "start": np.concatenate(starts)})
+                    starts.append(first)
+                    lengths.append(stop - first)
+            if seen:
+                yield pd.DataFrame({"anchor": np.concatenate(keys), "segment": seen, "doc": np.concatenate(docs), "row": np.concatenate(rows_), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
 
     held = rows.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
-    found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, data binary, doc long, row int, start long"), "segments")
+    found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, doc long, row int, start long, length int"), "segments")
     discard(wanted)
-    unique = saved(found.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.first("data").alias("data")), "unique")
+
+    # The symbols of a different segment are read once, from the smallest document that holds it.
+    first = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "row", "start", "length")).alias("x"))
+    first = first.select("anchor", "segment", "x.*").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "segment", "start", "length")).alias("x"))
+    first = saved(first.select("doc", "row", *[F.col(f"x.{c}").alias(f"{c}s") for c in ("anchor", "segment", "start", "length")]), "first")
+
+    def symbol_rows(batches):
+        size = kind.width
+        for pdf in batches:
+            data = []
+            for text, starts, lengths in zip(pdf["text"], pdf["starts"], pdf["lengths"], strict=True):
+                raw = kind.packed(kind.symbols(text))
+                data += [raw[a * size : (a + n) * size] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            if data:
+                yield pd.DataFrame({"anchor": np.concatenate(pdf["anchors"].to_list()), "segment": np.concatenate(pdf["segments"].to_list()), "doc": np.repeat(pdf["doc"].to_numpy(), pdf["starts"].str.len()), "data": data})
+
+    held = rows.join(first, ["doc", "row"]).select("doc", "text", "anchors", "segments", "starts", "lengths")
+    unique = saved(held.mapInPandas(symbol_rows, "anchor long, segment long, doc long, data binary"), "unique")
+    discard(first)
     dealt = unique.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
