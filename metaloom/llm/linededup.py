@@ -6,8 +6,8 @@ streamed once into a count and the largest document of each hash.  The range has
 third of all documents hold spreads over many partitions, and only its partial counts meet.  Texts do not move for
 this: the outcome is a keep bitmap for each document, of 63-bit words; words that keep every line are left out.
 
-Results for odd input.  A null or empty text is one empty line.  Rows count as documents each, also when they repeat
-an id or a whole row; of rows with the largest doc_id that holds a line, all keep it.  A null doc_id sorts before all
+Results for odd input.  A null or empty text is one empty line.  Rows with one doc_id are
+one document when documents are counted, and all rows with the largest doc_id that holds a line keep it.  A null doc_id sorts before all
 others.  A line that repeats within a document counts once, and all its lines go or stay together.  Other columns are
 ignored.  An empty table gives an empty result.
 """
@@ -53,7 +53,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     ranged = seen.repartitionByRange(partitions(spark), "hash", "doc").sortWithinPartitions("hash", "doc", "pos")
     seen = saved(ranged, "lines")
     # A first step makes one row of a line's repeats in a document; the second counts documents.
-    once = seen.groupBy("hash", "doc", "row").agg(F.lit(1).alias("one"))
+    once = seen.groupBy("hash", "doc").agg(F.lit(1).alias("one"))
     common = once.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
     # As a table of its own, the join has two exchanges, and Spark can split the lines that very many documents hold.
     common = saved(common, "common")
