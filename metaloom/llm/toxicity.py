@@ -20,9 +20,7 @@ columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import small_batches
+from metaloom.llm.base import mixed, small_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 TARGETED, NEGATED, REPORTED = 1, 2, 4
@@ -55,8 +53,8 @@ _CLAUSE = regex.compile(r"[^.!?;:,\n]+")
 
 @dataclass(frozen=True)
 class TrainingBound:
-    rows: int = 20_000
-    bytes: int = 64 << 20
+    rows: int = 10_000
+    bytes: int = 24 << 20
 
 
 class Lexicon:
@@ -173,59 +171,71 @@ def score(text: str | None, grammar: Grammar, lexicon: Lexicon) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def copy_groups(held: list[frozenset[str]]) -> list[int]:
-    """A group for each text, the same for copies and mostly for near copies: the least hash among its rare words."""
-    in_texts = Counter(w for ws in held for w in ws)
-    rare = max(2, len(held) // 30)
-    named: dict = {}
-    groups = []
-    for ws in held:
-        least = min((crc32(w.encode("utf-8", "replace")), w) for w in ws if in_texts[w] <= rare) if any(in_texts[w] <= rare for w in ws) else ws
-        groups.append(named.setdefault(least, len(named)))
-    return groups
+def copy_groups(words: np.ndarray, texts: np.ndarray, n_texts: int, n_words: int) -> np.ndarray:
+    """A group for each text, the same for copies and mostly for near copies: the three least hashes of its rarer words.
+
+    words and texts are the pairs of distinct words and texts; a text with fewer such words is a group of its own.
+    """
+    rare = np.bincount(words, minlength=n_words)[words] <= max(2, n_texts // 30)
+    hashed, texts = mixed(words[rare].astype(np.uint64) + np.uint64(1)), texts[rare]
+    order = np.lexsort((hashed, texts))
+    hashed, texts = hashed[order], texts[order]
+    start = np.searchsorted(texts, np.arange(n_texts))
+    enough = np.flatnonzero(np.diff(np.append(start, len(texts))) >= 3)
+    key = np.arange(n_texts, dtype=np.uint64)
+    key[enough] = mixed(hashed[start[enough]] ^ mixed(hashed[start[enough] + 1] ^ mixed(hashed[start[enough] + 2])))
+    return np.unique(key, return_inverse=True)[1]
 
 
 def learned_stems(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     """Prefixes that mark toxic texts, each as long as it can be without losing a twentieth of its texts.
 
-    A prefix counts once for each group of copies, as copies share all their words.
+    A prefix counts once for each group of copies, as copies share all their words; and once for each of several
+    words of a text, which are no independent signs.
     """
-    held = [frozenset(_WORD.findall((t or "").lower())) for t in texts]
-    groups = copy_groups(held)
-    words: list[dict[str, set[int]]] = [{}, {}]
-    for ws, y, g in zip(held, toxic, groups, strict=True):
-        for w in ws:
-            words[int(y)].setdefault(w, set()).add(g)
-    count: list[Counter] = [Counter(), Counter()]
-    for y in (0, 1):
-        for w, n in words[y].items():
-            for k in range(LEAST_STEM, min(len(w), MOST_STEM) + 1):
-                count[y][w[:k]] += len(n)
-    n_toxic = len({g for g, y in zip(groups, toxic, strict=True) if y})
-    p = min(max(n_toxic / max(1, len(set(groups))), 1e-6), 1 - 1e-6)
-    limit = math.log(CHANCE / max(1, len(count[0].keys() | count[1].keys())))
+    ids: dict[str, int] = {}
+    held = [np.fromiter({ids.setdefault(w, len(ids)) for w in _WORD.findall((t or "").lower())}, np.int64) for t in texts]
+    if not ids:
+        return {}
+    words = np.concatenate(held)
+    owner = np.repeat(np.arange(len(texts)), [len(h) for h in held])
+    group = copy_groups(words, owner, len(texts), len(ids))
+    n_groups = int(group.max()) + 1
+    is_toxic = np.zeros(n_groups, bool)
+    np.logical_or.at(is_toxic, group, toxic > 0)
+    owner = group[owner]
+    spelled = list(ids)
+    count: list[dict[str, tuple[int, int]]] = []
+    tried = 0
+    for k in range(LEAST_STEM, MOST_STEM + 1):
+        prefixes: dict[str, int] = {}
+        prefix_of = np.fromiter((prefixes.setdefault(w[:k], len(prefixes)) if len(w) >= k else -1 for w in spelled), np.int64, len(spelled))[words]
+        some = prefix_of >= 0
+        pairs = np.unique(prefix_of[some] * n_groups + owner[some])
+        pos = np.bincount(pairs[is_toxic[pairs % n_groups]] // n_groups, minlength=len(prefixes))
+        neg = np.bincount(pairs[~is_toxic[pairs % n_groups]] // n_groups, minlength=len(prefixes))
+        tried += len(prefixes)
+        count.append({x: (int(pos[i]), int(neg[i])) for x, i in prefixes.items() if pos[i] >= max(2, PRECISION * (pos[i] + neg[i]))})
+    p = min(max(float(is_toxic.mean()), 1e-6), 1 - 1e-6)
+    limit = math.log(CHANCE / max(1, tried))
 
     def marks(pos: int, neg: int) -> bool:
+        """Whether so many toxic among all have a chance below the limit."""
         n = pos + neg
-        return n > 0 and pos >= PRECISION * n and math.lgamma(n + 1) - math.lgamma(pos + 1) - math.lgamma(neg + 1) + pos * math.log(p) + neg * math.log(1 - p) < limit
-
-    tried = {x for x, n in count[1].items() if marks(n, count[0][x])}
-    groups_of: list[dict[str, set[int]]] = [{x: set() for x in tried}, {x: set() for x in tried}]
-    for y in (0, 1):  # words of one text that share a prefix are no independent signs
-        for w, n in words[y].items():
-            for k in range(LEAST_STEM, min(len(w), MOST_STEM) + 1):
-                if w[:k] in tried:
-                    groups_of[y][w[:k]] |= n
-    good = {x for x in tried if marks(len(groups_of[1][x]), len(groups_of[0][x]))}
-    children: dict[str, list[str]] = {}
-    for x in tried:
-        children.setdefault(x[:-1], []).append(x)
+        return math.lgamma(n + 1) - math.lgamma(pos + 1) - math.lgamma(neg + 1) + pos * math.log(p) + neg * math.log(1 - p) < limit
+
+    good = {x: c for level in count for x, c in level.items() if marks(*c)}
     stems = {}
-    for x in sorted(good, key=len):
+    for x in sorted(good, key=lambda x: (len(x), x)):
         if any(x[:k] in good for k in range(LEAST_STEM, len(x))):
             continue
-        while longer := [c for c in children.get(x, []) if len(groups_of[1][c]) >= 0.95 * len(groups_of[1][x])]:
-            x = max(longer, key=lambda c: len(groups_of[1][c]))
+        while len(x) < MOST_STEM:
+            longer = [(c[0], y) for y, c in count[len(x) + 1 - LEAST_STEM].items() if c[0] >= 0.95 * good[x][0] and y.startswith(x)]
+            if not longer:
+                break
+            y = max(longer)[1]
+            good[y] = count[len(y) - LEAST_STEM][y]
+            x = y
         stems[x] = INSULT
     return stems
 
