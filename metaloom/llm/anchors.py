@@ -3,7 +3,8 @@
 A window is ``window`` consecutive symbols of one document.  Its anchor is the least hash among its grams of ``gram``
 symbols (the first of equals), so equal windows have equal anchors.  Neighbouring windows mostly share an anchor; their
 run is a segment.  Anchors that only one document holds can match nothing and go no further.  The segments of the others
-are made unique, so copies become one row with their smallest document, and are dealt to shards by anchor.  An index
+are made unique, so copies become one row with their smallest document, and where an anchor has several, they are
+dealt to shards by anchor.  An index
 of each shard gives, for each window of a segment, the smallest document that holds it.  A document's window is a
 repeat if that document is smaller.
 
@@ -99,7 +100,7 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     anchors = saved(rows.select("doc", "row", "text").mapInPandas(anchor_rows, "anchor long, doc long, row int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
     shared = saved(shared, "shared")
-    wanted = anchors.join(shared, "anchor").groupBy("doc", "row").agg(F.collect_list("anchor").alias("wanted"))
+    wanted = anchors.join(shared.hint("shuffle_hash"), "anchor").groupBy("doc", "row").agg(F.collect_list("anchor").alias("wanted"))
     # Whole copies of a smaller document are all repeats; their segments need no second look.
     copies = whole_copies(rows)
     wanted = saved(wanted.join(copies, ["doc", "row"], "left_anti"), "wanted")
@@ -128,9 +129,13 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, doc long, row int, start long, length int"), "segments")
     discard(wanted)
 
-    # The symbols of a different segment are read once, from the smallest document that holds it.
-    first = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "row", "start", "length")).alias("x"))
-    first = first.select("anchor", "segment", "x.*").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "segment", "start", "length")).alias("x"))
+    # An anchor with one segment needs no index: all windows of the segment are in its smallest document first.  Of the
+    # others, a segment's symbols are read once, from the smallest document that holds it.
+    keys = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "row", "start", "length")).alias("x")).select("anchor", "segment", "x.*")
+    keys = saved(keys, "keys")
+    many = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    alone = keys.join(many, "anchor", "left_anti").select("anchor", "segment", F.array_repeat("doc", F.col("length") - (kind.window - 1)).alias("least"))
+    first = keys.join(many, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "segment", "start", "length")).alias("x"))
     first = saved(first.select("doc", "row", *[F.col(f"x.{c}").alias(f"{c}s") for c in ("anchor", "segment", "start", "length")]), "first")
 
     def symbol_rows(batches):
@@ -173,8 +178,8 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
             if len(pdf):
                 yield indexed(pdf)
 
-    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>"), "least")
-    discard(unique)
+    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>").union(alone), "least")
+    discard(unique, keys)
     hit = found.select("anchor", "segment", "doc", "row", "start").join(least, ["anchor", "segment"])
     hit = hit.filter(F.array_min("least") < F.col("doc"))
     # A run of windows that are all repeats is one pair of start and count; in other segments each window is one.

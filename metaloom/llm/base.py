@@ -32,14 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Makes Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again.
 
-    This cuts the lineage: later stages, also after a lost executor, read the table and compute nothing twice.  The
-    driver then collects its garbage, so that Spark deletes the shuffle files of the job that is over.
+    This cuts the lineage: later stages, also after a lost executor, read the table and compute nothing twice.  So the
+    shuffle files of the job that wrote it are deleted with its end.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     gc.collect()
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
