@@ -2,6 +2,7 @@
 
 from metaloom.operators import code, docs, graph, incremental, queries, search, stats, telemetry, traverse  # noqa: F401
 from metaloom.operators.registry import QUERIES, SQL
+from metaloom.sources import metadata_xml, pages  # noqa: F401
 from metaloom.streaming import events  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
