@@ -126,7 +126,7 @@ def _(d):
     return free_query(d.spark, "SELECT c_mktsegment AS dataset, count(*) AS n FROM free_customer /* UPDATE */ GROUP BY c_mktsegment")
 
 
-@query("F09", "SELECT * FROM (VALUES ('заказ', 'prefix', 1.0), ('заказ', 'exact', 2.0), ('заказ', 'fuzzy', 0.5), ('до', 'prefix', 1.0), ('до', 'exact', 2.0)) AS t(word, match, weight)")
+@query("F09", "SELECT * FROM (VALUES ('заказ', 'prefix', 1e0), ('заказ', 'exact', 2e0), ('заказ', 'fuzzy', 0.5e0), ('до', 'prefix', 1e0), ('до', 'exact', 2e0)) AS t(word, match, weight)")
 def _(d):
     return d.spark.createDataFrame(fulltext_terms("Заказ, до"), "word string, match string, weight double")
 
