@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from metaloom.llm.base import known_id, partitions, real_id, saved, small_batches, utf8
 from metaloom.llm.components import components
+from metaloom.llm.jaccard import later_copies
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Most different fingerprints in one block of a key.
@@ -180,8 +181,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest id, as it is; rows that repeat its id and text are one."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(known_id().alias("__id")).distinct()
+    """Of each component the document with the smallest id, as it is; rows that repeat its id and text are one.
+
+    Components here are of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+    """
+    gone = later_copies(docs).withColumnRenamed("node", "__id")
     rows = docs.withColumn("__id", known_id()).withColumn("__row", F.xxhash64("text"))
-    return rows.join(keep, "__id", "left_semi").dropDuplicates(["__id", "__row"]).select(docs.columns)
+    return rows.join(gone, "__id", "left_anti").dropDuplicates(["__id", "__row"]).select(docs.columns)
