@@ -92,12 +92,7 @@ def blocks(page: str | None) -> list[Block]:
             if stack[k][1] in scope:
                 return
 
-    skip_to = None
-    for m in _TOKEN.finditer(page):
-        if skip_to is not None:
-            if m.start() < skip_to:
-                continue
-            skip_to = None
+    while m := _TOKEN.search(page, at):  # after a raw element, from its end: its content is no markup
         add(page[at : m.start()])
         at = m.end()
         slash, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -123,7 +118,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             if not raw.rstrip().endswith("/") or tag != "template":
                 found = regex.compile(rf"</{tag}\b[^>]*(?:>|$)", regex.I).search(page, at)
-                at = skip_to = found.end() if found else len(page)
+                at = found.end() if found else len(page)
             continue
         if is_block:
             close(_P, _SCOPE)
@@ -132,7 +127,6 @@ def blocks(page: str | None) -> list[Block]:
         names, marked = attributes(raw)
         stack.append((stack[-1], tag, names, marked))
         links += tag == "a"
-    if skip_to is None or at >= skip_to:
-        add(page[at:])
+    add(page[at:])
     end()
     return out
