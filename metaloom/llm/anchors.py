@@ -6,12 +6,13 @@ run is a segment.  Anchors that only one document holds can match nothing and go
 are made unique, so copies become one row with their smallest document, and where an anchor has several, they are
 dealt to shards by anchor.  An index
 of each shard gives, for each window of a segment, the smallest document that holds it.  A document's window is a
-repeat if that document is smaller.
+repeat if that document is smaller.  An anchor whose different segments are too long for a shard (a stock phrase in
+many surroundings) is dealt out further: by the hash of each of its windows, under which the smallest document is taken.
 
 Texts that are whole copies of a smaller document's are found by their hash beforehand: all their windows are repeats.
 
 Every step is a shuffle on anchors, segments or documents with partial aggregation; no step meets all pairs, and a
-shard holds the different segments of whole anchors up to about ``SHARD_SYMBOLS`` symbols.
+shard holds the different segments of whole anchors up to about ``SHARD_SYMBOLS + HOT_SYMBOLS`` symbols.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from metaloom.llm.base import discard, known_id, partitions, saved, small_batche
 
 #: Symbols that are scanned at a time, and of one shard's index.
 SLICE, SHARD_SYMBOLS = 1 << 19, 1 << 19
+#: Symbols of an anchor's different segments, beyond which its windows are dealt out one by one.
+HOT_SYMBOLS = 1 << 19
 _LOW = np.uint64((1 << 21) - 1)
 
 
@@ -133,7 +136,8 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     # others, a segment's symbols are read once, from the smallest document that holds it.
     keys = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "row", "start", "length")).alias("x")).select("anchor", "segment", "x.*")
     keys = saved(keys, "keys")
-    many = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    many = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).filter("n > 1").select("anchor", "size")
+    many = saved(many, "many")
     alone = keys.join(many, "anchor", "left_anti").select("anchor", "segment", F.array_repeat("doc", F.col("length") - (kind.window - 1)).alias("least"))
     first = keys.join(many, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "segment", "start", "length")).alias("x"))
     first = saved(first.select("doc", "row", *[F.col(f"x.{c}").alias(f"{c}s") for c in ("anchor", "segment", "start", "length")]), "first")
@@ -151,7 +155,8 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     held = rows.join(first, ["doc", "row"]).select("doc", "text", "anchors", "segments", "starts", "lengths")
     unique = saved(held.mapInPandas(symbol_rows, "anchor long, segment long, doc long, data binary"), "unique")
     discard(first)
-    dealt = unique.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
+    hot = many.filter(F.col("size") > HOT_SYMBOLS).select("anchor")
+    dealt = unique.join(hot, "anchor", "left_anti").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "anchor", "segment"])
@@ -178,8 +183,24 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
             if len(pdf):
                 yield indexed(pdf)
 
-    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>").union(alone), "least")
-    discard(unique, keys)
+    def window_rows(batches):
+        size, digest = kind.width, xxhash.xxh3_128_digest
+        for pdf in batches:
+            n = pdf["data"].str.len().to_numpy() // size - kind.window + 1
+            at = [np.arange(k) for k in n]
+            if len(at):
+                windows = [digest(d[i * size : (i + kind.window) * size]) for d, k in zip(pdf["data"], n.tolist(), strict=True) for i in range(k)]
+                yield pd.DataFrame({"anchor": np.repeat(pdf["anchor"].to_numpy(), n), "segment": np.repeat(pdf["segment"].to_numpy(), n), "doc": np.repeat(pdf["doc"].to_numpy(), n), "at": np.concatenate(at), "w": windows})
+
+    # A segment has at most one window for each place of the anchor in it, so its row stays small.
+    windows = unique.join(hot, "anchor", "left_semi").select("anchor", "segment", "doc", "data")
+    windows = saved(windows.mapInPandas(window_rows, "anchor long, segment long, doc long, at int, w binary"), "windows")
+    lows = windows.groupBy("anchor", "w").agg(F.min("doc").alias("low"))
+    apart = windows.join(lows, ["anchor", "w"]).groupBy("anchor", "segment").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("x"))
+    apart = apart.select("anchor", "segment", F.col("x.low").alias("least"))
+
+    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>").union(alone).union(apart), "least")
+    discard(unique, keys, many, windows)
     hit = found.select("anchor", "segment", "doc", "row", "start").join(least, ["anchor", "segment"])
     hit = hit.filter(F.array_min("least") < F.col("doc"))
     # A run of windows that are all repeats is one pair of start and count; in other segments each window is one.
