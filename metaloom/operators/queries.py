@@ -103,6 +103,11 @@ def _(d):
     return sources(sample_texts(d.orders).filter("id % 11 <> 0"))
 
 
+@query("Q02_whole")
+def _(d):
+    return sources(sample_texts(d.orders))
+
+
 @query("Q04", "SELECT o_orderkey AS id, 'Вт' AS name, 'К,С,c_name' AS columns FROM orders")
 def _(d):
     return temp_columns(sample_texts(d.orders))
