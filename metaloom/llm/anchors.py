@@ -2,17 +2,19 @@
 
 A window is ``window`` consecutive symbols of one document.  Its anchor is the least hash among its grams of ``gram``
 symbols (the first of equals), so equal windows have equal anchors.  Neighbouring windows mostly share an anchor; their
-run is a segment.  Anchors that only one document holds can match nothing and go no further.  The segments of the others
-are made unique, so copies become one row with their smallest document, and where an anchor has several, they are
-dealt to shards by anchor.  An index
-of each shard gives, for each window of a segment, the smallest document that holds it.  A document's window is a
-repeat if that document is smaller.  An anchor whose different segments are too long for a shard (a stock phrase in
-many surroundings) is dealt out further: by the hash of each of its windows, under which the smallest document is taken.
-
-Texts that are whole copies of a smaller document's are found by their hash beforehand: all their windows are repeats.
-
-Every step is a shuffle on anchors, segments or documents with partial aggregation; no step meets all pairs, and a
-shard holds the different segments of whole anchors up to about ``SHARD_SYMBOLS + HOT_SYMBOLS`` symbols.
+run is a segment.  Rows are kept in chunks of a bounded size, and chunks and buckets of anchors exchange arrays:
+
+1. each chunk sends the anchors it holds, once each, with their smallest document, to their buckets;
+2. each bucket answers which anchors several documents hold; only their segments go further;
+3. each chunk sends the different segments below those anchors, with the smallest document of each, to the buckets;
+4. each bucket makes equal segments one (their bytes are compared, not hashes), indexes them a shard at a time, and
+   answers from the index, for each window of each segment, the smallest document that holds it;
+5. each chunk reads its texts again: a window whose smallest document is smaller than its own is a repeat.
+
+A chunk sends a segment once, however often its rows hold it, so a passage or a whole text that a third of all rows
+share costs a row a chunk.  An anchor with very many segments (a stock phrase in many surroundings) is dealt out
+further: each of its windows is a segment of its own, below the hash of the whole window, so equal windows still meet
+and no bucket outgrows the others.  Every removal is an answer of the index; nothing is decided by a hash.
 """
 
 from __future__ import annotations
@@ -22,17 +24,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import discard, known_id, partitions, saved, small_batches
+from metaloom.llm.base import MIX_A, discard, known_id, mixed, partitions, saved, small_batches
 
 #: Symbols that are scanned at a time, and of one shard's index.
 SLICE, SHARD_SYMBOLS = 1 << 19, 1 << 19
-#: Symbols of an anchor's different segments, beyond which its windows are dealt out one by one.
-HOT_SYMBOLS = 1 << 19
-_LOW = np.uint64((1 << 21) - 1)
+#: Segments below an anchor, beyond which its windows are dealt out one by one.
+HOT_SEGMENTS = 4096
+#: Bytes of text in a chunk and in what a bucket stands for; anchors that a task keeps before it sends them.
+CHUNK_BYTES, BUCKET_BYTES, KEPT_ANCHORS = 1 << 23, 1 << 23, 1 << 21
+_LOW, _HALF = np.uint64((1 << 21) - 1), np.uint64(32)
+_NONE = np.zeros(0, np.int64)
+
+
+@dataclass
+class Buffer:
+    """The texts of a chunk: hashes or bytes as symbols, symbols of each text, and the bytes of symbols a to b."""
+
+    symbols: np.ndarray
+    lengths: np.ndarray
+    cut: Callable[[int, int], bytes]
+    #: The result of text k, given its document and which of its symbols are gone.
+    result: Callable[[int, object, np.ndarray], tuple]
 
 
 @dataclass(frozen=True)
@@ -41,18 +56,29 @@ class Kind:
 
     window: int
     gram: int
-    symbols: Callable[[str | None], np.ndarray]
+    read: Callable[[list[bytes]], Buffer]
     grams: Callable[[np.ndarray], np.ndarray]
-    #: Of (symbols, starts and ends of segments, document of each segment): the smallest document for each window.
-    index: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-    #: Symbols as bytes of a fixed width, and back.
-    width: int
-    packed: Callable[[np.ndarray], bytes]
-    unpacked: Callable[[bytes], np.ndarray]
+    #: Of (bytes of segments in the order of documents, windows of each, document of each): the smallest for each window.
+    index: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+    columns: str
 
 
-def segments(kind: Kind, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first window, end window) of the segments, a slice of the document at a time."""
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... for each start, as many as counted."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
+def segments(kind: Kind, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key of the anchor, first window, windows, text) of the segments of texts put together, and the slice's grams
+    with its offset."""
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    last = np.cumsum(lengths) - kind.window
     n = len(symbols) - kind.window + 1
     width = kind.window - kind.gram + 1
     for at in range(0, max(n, 0), SLICE):
@@ -66,160 +92,200 @@ def segments(kind: Kind, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         if size < width:
             low = np.minimum(low[: len(low) - width + size], low[width - size :])
         where = (low & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        yield g[where[first]], first + at, np.r_[first[1:], len(where)] + at
-
-
-def rows_for(docs: DataFrame) -> DataFrame:
-    """(doc, row, text); row, a hash of the text, tells rows with one id apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(known_id().alias("doc"), text.alias("text")).withColumn("row", F.hash("text"))
-
-
-def whole_copies(rows: DataFrame) -> DataFrame:
-    """(doc, row) of texts that a smaller document has as a whole; only hashes of the texts move."""
-    marked = saved(rows.select("doc", "row", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h")), "hashes")
-    first = marked.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h", "lo")
-    return saved(marked.join(first, "h").filter("doc > lo").select("doc", "row").distinct(), "copies")
-
-
-def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(doc, row, starts, counts): for each row with repeats, the runs of windows that are repeats; a count of -1: all."""
-    spark = rows.sparkSession
-    small_batches(spark)
+        inside = np.arange(at, at + len(where)) <= last[owner[at : at + len(where)]]
+        first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (inside[1:] != inside[:-1])])
+        count = np.diff(np.r_[first, len(where)])
+        some = inside[first]
+        first, count = first[some], count[some]
+        # Least hashes are small numbers; mixed again they spread over all buckets.
+        yield mixed(g[where[first]] ^ MIX_A), first + at, count, owner[first + at], g, at
+
+
+def held(kind: Kind, buffer: Buffer, cold: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, text) of the segments below shared anchors, hot ones a window at a time."""
+    offsets = [*range(0, kind.window - kind.gram, kind.gram), kind.window - kind.gram]
+    out = []
+    for key, first, count, owner, g, at in segments(kind, buffer.symbols, buffer.lengths):
+        c, h = member(key, cold), member(key, hot)
+        out.append((key[c], first[c], count[c], owner[c]))
+        if h.any():
+            window = spread(first[h], count[h])
+            whole = np.zeros(len(window), np.uint64)
+            for k in offsets:
+                whole = mixed(whole * MIX_A + g[window - at + k])
+            out.append((whole, window, np.ones(len(window), np.int64), np.repeat(owner[h], count[h])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), _NONE, _NONE, _NONE)
+
+
+def numbered(pieces) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Numbers for equal pieces of bytes: the different ones in order, the number of each, and where each is first."""
+    ids: dict[bytes, int] = {}
+    of = np.fromiter((ids.setdefault(p, len(ids)) for p in pieces), np.int64)
+    first = np.flatnonzero(np.r_[True, of[1:] > np.maximum.accumulate(of)[:-1]]) if len(of) else _NONE
+    return ids, of, first
+
+
+def least_of(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(out, of, values)
+    return out
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of sorted keys, with where each begins and ends."""
+    bucket = ((keys >> _HALF) * np.uint64(buckets) >> _HALF).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else _NONE
+    return bucket[first], first, np.r_[first[1:], len(bucket)]
+
+
+def together(arrays) -> np.ndarray:
+    arrays = [x for x in arrays if x is not None and len(x)]
+    return np.concatenate(arrays) if arrays else _NONE
+
+
+def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, idx, doc, text) as a table, in chunks of about CHUNK_BYTES or of one long text; and the bytes of all."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(known_id().alias("doc"), text.alias("text"))
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    each = max(1, total // max(1, n))
+    bits = max(0, (CHUNK_BYTES // each).bit_length() - 1)
+    rows = rows.withColumn("idx", F.monotonically_increasing_id())
+    # A text of many times the mean is a chunk alone, so no chunk is larger than eight times the aim.
+    chunk = F.when(F.octet_length("text") > 8 * each, -1 - F.col("idx")).otherwise(F.shiftright("idx", bits))
+    return saved(rows.withColumn("chunk", chunk), "chunks"), total
+
+
+def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
+    """For each row its id (as ``doc``) and the columns of the kind."""
+    spark = docs.sparkSession
+    small_batches(spark, 256)
+    rows, total = chunked(docs)
+    buckets = max(4 * partitions(spark), total // BUCKET_BYTES)
 
     def anchor_rows(batches):
+        kept: dict[int, list] = {}
+        size = 0
+
+        def sent():
+            for chunk, parts in kept.items():
+                keys, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys)
+                keys, doc = keys[order], doc[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                keys, n = keys[first], np.diff(np.r_[first, len(doc)]).astype(np.int32)
+                low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+                n[low < high] *= -1  # a negative count: of several documents
+                b, a, z = by_bucket(keys, buckets)
+                cut = [slice(*x) for x in zip(a.tolist(), z.tolist(), strict=True)]
+                yield pd.DataFrame({"bucket": b, "chunk": chunk, "keys": [keys[s].view(np.int64) for s in cut], "low": [low[s] for s in cut], "n": [n[s] for s in cut]})
+
         for pdf in batches:
-            docs, rows_, out = [], [], []
-            for doc, row, text in zip(pdf["doc"], pdf["row"], pdf["text"], strict=True):
-                found = [a for a, _, _ in segments(kind, kind.symbols(text))]
-                if found:
-                    out.append(np.unique(np.concatenate(found)))
-                    docs.append(np.full(len(out[-1]), doc))
-                    rows_.append(np.full(len(out[-1]), row))
-            if out:
-                yield pd.DataFrame({"anchor": np.concatenate(out).view(np.int64), "doc": np.concatenate(docs), "row": np.concatenate(rows_)})
-
-    anchors = saved(rows.select("doc", "row", "text").mapInPandas(anchor_rows, "anchor long, doc long, row int"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
-    shared = saved(shared, "shared")
-    wanted = anchors.join(shared.hint("shuffle_hash"), "anchor").groupBy("doc", "row").agg(F.collect_list("anchor").alias("wanted"))
-    # Whole copies of a smaller document are all repeats; their segments need no second look.
-    copies = whole_copies(rows)
-    wanted = saved(wanted.join(copies, ["doc", "row"], "left_anti"), "wanted")
-    discard(anchors, shared)
-
-    def segment_rows(batches):
-        size, digest = kind.width, xxhash.xxh64_intdigest
-        for pdf in batches:
-            keys, seen, docs, rows_, starts, lengths = [], [], [], [], [], []
-            for doc, row, text, wanted in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["wanted"], strict=True):
-                symbols, keep = kind.symbols(text), np.sort(np.asarray(wanted, np.int64).view(np.uint64))
-                raw = kind.packed(symbols)
-                for anchor, first, end in segments(kind, symbols):
-                    at = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, anchor), len(keep) - 1)] == anchor)
-                    first, stop = first[at], end[at] + kind.window - 1
-                    seen += [digest(raw[a:b]) - (1 << 63) for a, b in zip((first * size).tolist(), (stop * size).tolist(), strict=True)]
-                    keys.append(anchor[at].view(np.int64))
-                    docs.append(np.full(len(at), doc))
-                    rows_.append(np.full(len(at), row))
-                    starts.append(first)
-                    lengths.append(stop - first)
-            if seen:
-                yield pd.DataFrame({"anchor": np.concatenate(keys), "segment": seen, "doc": np.concatenate(docs), "row": np.concatenate(rows_), "start": np.concatenate(starts), "length": np.concatenate(lengths)})
-
-    held = rows.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
-    found = saved(held.mapInPandas(segment_rows, "anchor long, segment long, doc long, row int, start long, length int"), "segments")
-    discard(wanted)
-
-    # An anchor with one segment needs no index: all windows of the segment are in its smallest document first.  Of the
-    # others, a segment's symbols are read once, from the smallest document that holds it.
-    keys = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "row", "start", "length")).alias("x")).select("anchor", "segment", "x.*")
-    keys = saved(keys, "keys")
-    many = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).filter("n > 1").select("anchor", "size")
-    many = saved(many, "many")
-    alone = keys.join(many, "anchor", "left_anti").select("anchor", "segment", F.array_repeat("doc", F.col("length") - (kind.window - 1)).alias("least"))
-    first = keys.join(many, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "segment", "start", "length")).alias("x"))
-    first = saved(first.select("doc", "row", *[F.col(f"x.{c}").alias(f"{c}s") for c in ("anchor", "segment", "start", "length")]), "first")
-
-    def symbol_rows(batches):
-        size = kind.width
-        for pdf in batches:
-            data = []
-            for text, starts, lengths in zip(pdf["text"], pdf["starts"], pdf["lengths"], strict=True):
-                raw = kind.packed(kind.symbols(text))
-                data += [raw[a * size : (a + n) * size] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            if data:
-                yield pd.DataFrame({"anchor": np.concatenate(pdf["anchors"].to_list()), "segment": np.concatenate(pdf["segments"].to_list()), "doc": np.repeat(pdf["doc"].to_numpy(), pdf["starts"].str.len()), "data": data})
-
-    held = rows.join(first, ["doc", "row"]).select("doc", "text", "anchors", "segments", "starts", "lengths")
-    unique = saved(held.mapInPandas(symbol_rows, "anchor long, segment long, doc long, data binary"), "unique")
-    discard(first)
-    hot = many.filter(F.col("size") > HOT_SYMBOLS).select("anchor")
-    dealt = unique.join(hot, "anchor", "left_anti").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "doc", "segment")
+            for chunk, part in pdf.groupby("chunk", sort=False):
+                buffer, doc = kind.read(part["text"].to_list()), part["doc"].to_numpy()
+                for key, _, _, owner, *_ in segments(kind, buffer.symbols, buffer.lengths):
+                    if len(key):
+                        kept.setdefault(chunk, []).append((key, doc[owner]))
+                        size += len(key)
+            if size > KEPT_ANCHORS:
+                yield from sent()
+                kept, size = {}, 0
+        yield from sent()
+
+    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a bucket: for each chunk its anchors that several documents hold, those with very many segments apart."""
+        keys, low, n = (np.concatenate(pdf[c].to_list()) for c in ("keys", "low", "n"))
+        order = np.argsort(keys)
+        keys, low, n = keys[order], low[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        shared = (np.minimum.reduceat(low, first) < np.maximum.reduceat(low, first)) | (np.minimum.reduceat(n, first) < 0)
+        many = np.add.reduceat(np.abs(n), first) > HOT_SEGMENTS
+        state = np.zeros(len(keys), np.int8)
+        state[order] = np.repeat(shared * (1 + many), np.diff(np.r_[first, len(keys)]))
+        state = np.split(state, np.cumsum(pdf["keys"].str.len())[:-1])
+        out = pd.DataFrame({"chunk": pdf["chunk"], **{c: [k[s == x] for k, s in zip(pdf["keys"], state, strict=True)] for c, x in (("cold", 1), ("hot", 2))}})
+        return out[[bool(s.any()) for s in state]]
+
+    sent = rows.select("chunk", "doc", "text").mapInPandas(anchor_rows, "bucket long, chunk long, keys array<long>, low array<long>, n array<int>")
+    shared = saved(sent.groupBy("bucket").applyInPandas(answered, "chunk long, cold array<long>, hot array<long>"), "shared")
+
+    def below(left: pd.DataFrame, right: pd.DataFrame):
+        """The chunk's texts, its segments, and the numbers of the different ones, in an order that is always the same."""
+        left = left.sort_values("idx")
+        buffer = kind.read(left["text"].to_list())
+        cold, hot = (np.unique(together(right[c]).view(np.uint64)) for c in ("cold", "hot"))
+        key, first, count, owner = held(kind, buffer, cold, hot)
+        ends = first + count + kind.window - 1
+        ids, of, new = numbered(map(buffer.cut, first.tolist(), ends.tolist()))
+        return left["doc"].to_numpy(), buffer, (key, first, count, owner), ids, of, new, np.argsort(key[new], kind="stable")
+
+    def segment_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bucket", "chunk", "keys", "docs", "counts", "sizes", "data"]
+        if not len(right) or not len(left):
+            return pd.DataFrame(columns=columns)
+        doc, _, (key, _, count, owner), ids, of, new, order = below(left, right)
+        pieces = list(ids)
+        pieces = [pieces[i] for i in order.tolist()]
+        keys, counts = key[new][order], count[new][order].astype(np.int32)
+        low = least_of(of, doc[owner], len(ids))[order]
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        b, a, z = by_bucket(keys, buckets)
+        cut = [slice(*x) for x in zip(a.tolist(), z.tolist(), strict=True)]
+        return pd.DataFrame({"bucket": b, "chunk": left["chunk"].iloc[0], "keys": [keys[s].view(np.int64) for s in cut], "docs": [low[s] for s in cut], "counts": [counts[s] for s in cut], "sizes": [sizes[s] for s in cut], "data": [b"".join(pieces[s]) for s in cut]})
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "anchor", "segment"])
-        lengths = pdf["data"].str.len().to_numpy() // kind.width
-        symbols = kind.unpacked(b"".join(pdf["data"]))
-        least = kind.index(symbols, lengths, pdf["doc"].to_numpy())
-        cut = np.cumsum(lengths - kind.window + 1)[:-1]
-        return pd.DataFrame({"anchor": pdf["anchor"], "segment": pdf["segment"], "least": np.split(least, cut)})
-
-    def index_shards(batches):
-        rest, size = [], 0
-        for pdf in batches:
-            rest.append(pdf)
-            size += int(pdf["data"].str.len().sum()) // kind.width
-            if size >= SHARD_SYMBOLS:  # a shard ends where an anchor ends
-                pdf = pd.concat(rest, ignore_index=True)
-                done = pdf["anchor"] != pdf["anchor"].iloc[-1]
-                if done.any():
-                    yield indexed(pdf[done])
-                rest = [pdf[~done]]
-                size = int(rest[0]["data"].str.len().sum()) // kind.width
-        if rest:
-            pdf = pd.concat(rest, ignore_index=True)
-            if len(pdf):
-                yield indexed(pdf)
-
-    def window_rows(batches):
-        size, digest = kind.width, xxhash.xxh3_128_digest
-        for pdf in batches:
-            n = pdf["data"].str.len().to_numpy() // size - kind.window + 1
-            at = [np.arange(k) for k in n]
-            if len(at):
-                windows = [digest(d[i * size : (i + kind.window) * size]) for d, k in zip(pdf["data"], n.tolist(), strict=True) for i in range(k)]
-                yield pd.DataFrame({"anchor": np.repeat(pdf["anchor"].to_numpy(), n), "segment": np.repeat(pdf["segment"].to_numpy(), n), "doc": np.repeat(pdf["doc"].to_numpy(), n), "at": np.concatenate(at), "w": windows})
-
-    # A segment has at most one window for each place of the anchor in it, so its row stays small.
-    windows = unique.join(hot, "anchor", "left_semi").select("anchor", "segment", "doc", "data")
-    windows = saved(windows.mapInPandas(window_rows, "anchor long, segment long, doc long, at int, w binary"), "windows")
-    lows = windows.groupBy("anchor", "w").agg(F.min("doc").alias("low"))
-    apart = windows.join(lows, ["anchor", "w"]).groupBy("anchor", "segment").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("x"))
-    apart = apart.select("anchor", "segment", F.col("x.low").alias("least"))
-
-    least = saved(dealt.select("anchor", "segment", "doc", "data").mapInPandas(index_shards, "anchor long, segment long, least array<long>").union(alone).union(apart), "least")
-    discard(unique, keys, many, windows)
-    hit = found.select("anchor", "segment", "doc", "row", "start").join(least, ["anchor", "segment"])
-    hit = hit.filter(F.array_min("least") < F.col("doc"))
-    # A run of windows that are all repeats is one pair of start and count; in other segments each window is one.
-    whole = F.array(F.struct(F.col("start").alias("at"), F.size("least").alias("n")))
-    each = F.transform("least", lambda x, i: F.when(x < F.col("doc"), F.struct((F.col("start") + i).alias("at"), F.lit(1).alias("n"))))
-    runs = F.when(F.array_max("least") < F.col("doc"), whole).otherwise(F.filter(each, lambda x: x.isNotNull()))
-    hit = hit.select("doc", "row", F.explode(runs).alias("run"))
-    lists = hit.groupBy("doc", "row").agg(F.collect_list("run").alias("runs"))
-    lists = lists.select("doc", "row", F.col("runs.at").alias("starts"), F.col("runs.n").alias("counts"))
-    every = copies.select("doc", "row", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(-1)).alias("counts"))
-    return saved(lists.union(every), "runs")
-
-
-def covered(kind: Kind, n: int, starts, counts) -> np.ndarray:
-    """Which of n symbols stand in a repeated window."""
-    if starts is None:
-        return np.zeros(n, bool)
-    starts, counts = np.asarray(starts, np.int64), np.asarray(counts, np.int64)
-    if counts[0] < 0:  # all windows
-        return np.full(n, n >= kind.window)
-    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + counts + kind.window - 1, minlength=n + 1)
-    return np.cumsum(edge[:n]) > 0
+        """Of a bucket: for each chunk the smallest document of each window that it sent, as runs of equal values."""
+        keys, docs, counts = (np.concatenate(pdf[c].to_list()) for c in ("keys", "docs", "counts"))
+
+        def pieces():
+            for data, sizes in zip(pdf["data"], pdf["sizes"], strict=True):
+                ends = np.cumsum(sizes)
+                yield from map(data.__getitem__, map(slice, (ends - sizes).tolist(), ends.tolist()))
+
+        ids, of, new = numbered(pieces())
+        text, low = list(ids), least_of(of, docs, len(ids))
+        count = counts[new].astype(np.int64)
+        offset = np.cumsum(count) - count
+        least = np.empty(int(count.sum()), np.int64)
+        by_key = np.argsort(keys[new].view(np.uint64), kind="stable")
+        size = np.cumsum((count + kind.window - 1)[by_key])
+        run = np.flatnonzero(np.r_[True, np.diff(keys[new][by_key]) != 0, True])
+        at = 0
+        while at < len(run) - 1:  # a shard ends where a key ends
+            stop = max(at + 1, int(np.searchsorted(size[run[1:] - 1], size[run[at]] + SHARD_SYMBOLS, side="right")))
+            some = by_key[run[at] : run[stop]]
+            some = some[np.argsort(low[some], kind="stable")]
+            least[spread(offset[some], count[some])] = kind.index([text[i] for i in some.tolist()], count[some], low[some])
+            at = stop
+        values, runs = [], []
+        for part in np.split(of, np.cumsum(pdf["keys"].str.len())[:-1]):
+            got = least[spread(offset[part], count[part])]
+            first = np.flatnonzero(np.r_[True, got[1:] != got[:-1]])
+            values.append(got[first])
+            runs.append(np.diff(np.r_[first, len(got)]))
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "least": values, "runs": runs})
+
+    def finished(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["doc", *[c.split()[0] for c in kind.columns.split(", ")]]
+        if not len(left):
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("bucket")
+        doc, buffer, (_, first, count, owner), _, of, new, order = below(left, right)
+        gone = np.zeros(len(buffer.symbols), bool)
+        if len(first):
+            least = np.repeat(together(right["least"]), together(right["runs"]))
+            n = count[new][order]
+            offset = np.empty(len(new), np.int64)
+            offset[order] = np.cumsum(n) - n
+            hit = least[spread(offset[of], count)] < np.repeat(doc[owner], count)
+            at = spread(first, count)[hit]
+            edge = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + kind.window, minlength=len(gone) + 1)
+            gone = np.cumsum(edge)[: len(gone)] > 0
+        parts = np.split(gone, np.cumsum(buffer.lengths)[:-1])
+        return pd.DataFrame([buffer.result(k, d, g) for k, (d, g) in enumerate(zip(doc, parts, strict=True))], columns=names)
+
+    texts = rows.groupBy("chunk")
+    sent = texts.cogroup(shared.groupBy("chunk")).applyInPandas(segment_rows, "bucket long, chunk long, keys array<long>, docs array<long>, counts array<int>, sizes array<int>, data binary")
+    least = saved(sent.groupBy("bucket").applyInPandas(indexed, "chunk long, bucket long, least array<long>, runs array<long>"), "least")
+    known = shared.withColumn("bucket", F.lit(None).cast("long")).unionByName(least, allowMissingColumns=True)
+    return texts.cogroup(known.groupBy("chunk")).applyInPandas(finished, f"doc long, {kind.columns}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -20,9 +19,12 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only in local mode, where all run on one
+    machine, a new folder takes its place if it is unset; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="metaloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -32,6 +34,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(uri: str):
+    """A file system that reaches the shared folder from any task or the driver, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 #: Makes Spark delete a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,8 +58,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    gc.collect()
-    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._metaloom_path = path
     return out
@@ -59,8 +66,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._metaloom_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = folder(df._metaloom_path)
+        files.delete_dir(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,10 +1,11 @@
 """Suffix-array dedup: bytes in windows that start in an earlier document go, by longest-previous-factor arrays.
 
-The suffixes of a shard's segments, which stand in the order of their documents, are sorted by prefix doubling to the
-depth of a window, equals by position.  A suffix has a longest previous factor of at least a window exactly if a
-suffix before it in this order, with a smaller position, shares the window: its previous smaller position.  The next
-smaller position can't share it, as equals are in the order of positions.  Following previous smaller positions leads
-to the first suffix of the run, which is in the smallest document; so later copies go and the first one stays.
+The segments of a shard stand in the order of their documents.  The suffixes at which windows start are sorted to the
+depth of a window; the common prefixes of neighbours in this order are counted from their bytes.  Of each suffix, the
+previous and the next one in suffix order that stand earlier in the text (previous and next smaller positions) are its
+best earlier matches; the longer of the two is its longest previous factor.  A window whose longest previous factor
+covers it is a copy.  Following the earlier matches leads to the first suffix with the window, which is in the smallest
+document that holds it; so later copies go and the first one stays.
 
 Results for odd input.  A null text has no bytes; texts shorter than a window lose none.  Rows with equal doc_id are
 one document for comparison, and none of them removes from another; each is returned.  A null doc_id counts as the
@@ -16,25 +17,22 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from metaloom.llm.anchors import Kind, covered, repeats, rows_for
+from metaloom.llm.anchors import Buffer, Kind, repeats, spread
 from metaloom.llm.base import MIX_A, mixed, real_id
 
 WINDOW, GRAM = 50, 16
+#: Bytes of the first two ranks that suffixes get.
+STEP = 5
 
 
-def byte_symbols(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-
-
-def packed(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one number, with zeros after the end."""
+def packed(data: np.ndarray, size: int = 8) -> np.ndarray:
+    """The size bytes from each position as one number, with zeros after the end."""
     x = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
     for k in (1, 2, 4):
         x = (x[:-k] << np.uint64(8 * k)) | x[k:]
-    return x
+    return x >> np.uint64(64 - 8 * size)
 
 
 def byte_grams(data: np.ndarray) -> np.ndarray:
@@ -43,83 +41,116 @@ def byte_grams(data: np.ndarray) -> np.ndarray:
     return mixed(p[:n] * MIX_A ^ (p[8 : 8 + n] >> np.uint64(3)) ^ (p[8 : 8 + n] << np.uint64(61)))
 
 
-def dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+def sorted_ranks(*keys: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys of so many bits each, equals by place, and the dense rank of each place.
+
+    Keys and place share 64 bits, so that plain numbers are sorted.
+    """
+    n = len(keys[0][0])
+    bits = max(1, n.bit_length())
+    if sum(b for _, b in keys) + bits > 64:
+        raise ValueError("a shard of too many symbols")
+    x = np.zeros(n, np.uint64)
+    for key, b in keys:
+        x = (x << np.uint64(b)) | key
+    x = np.sort((x << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    order = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+    x >>= np.uint64(bits)
+    ranks = np.empty(n, np.uint64)
+    ranks[order] = np.cumsum(np.r_[False, x[1:] != x[:-1]][:n], dtype=np.uint64)
+    return order, ranks
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at starts in the order of their first depth bytes (10 at least), equals by position."""
+    bits = max(1, len(data).bit_length())
+    ahead = lambda r, k: np.concatenate([r[k:], np.zeros(min(k, len(r)), np.uint64)])
+    _, rank = sorted_ranks((packed(data, STEP), 8 * STEP))
+    rank += np.uint64(1)
+    _, rank = sorted_ranks((rank, bits), (ahead(rank, STEP), bits))
+    rank = np.concatenate([rank + np.uint64(1), np.zeros(depth, np.uint64)])
+    order, group = sorted_ranks((rank[starts], bits + 1))
+    for k in [*range(2 * STEP, depth - 2 * STEP, 2 * STEP), depth - 2 * STEP][: None if depth > 2 * STEP else 0]:
+        order, group = sorted_ranks((group, max(1, len(starts).bit_length())), (rank[starts + k], bits + 1))
+    return order
+
+
+def common_prefixes(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes each suffix has in common with the one before it in the order, up to depth; the first has none."""
+    p = packed(np.concatenate([data, np.zeros(depth + 8, np.uint8)]))
+    a, b = places[:-1], places[1:]
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for k in range(0, depth, 8):
+        x = p[a[live] + k] ^ p[b[live] + k]
+        out[live] += sum((x < np.uint64(1 << 8 * t)).astype(np.int64) for t in range(8))
+        live = live[x == 0]
+    return np.r_[0, np.minimum(np.minimum(out, depth), len(data) - np.maximum(a, b))][: len(places)]
+
+
+def previous_smaller(places: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the last before it in the order with a smaller position, and their common bytes.
+
+    Only such with at least so many common bytes are looked for; else the place is -1 with 0.  A candidate that is not
+    smaller hands on to its own candidate: all between the two are larger than it.
+    """
+    to, shared = np.arange(-1, len(places) - 1), common.copy()
+    live = np.flatnonzero((to >= 0) & (shared >= least))
+    live = live[places[to[live]] > places[live]]
+    while len(live):
+        over = to[live]
+        shared[live], to[live] = np.minimum(shared[live], shared[over]), to[over]
+        live = live[(to[live] >= 0) & (shared[live] >= least)]
+        live = live[places[to[live]] > places[live]]
+    none = (to < 0) | (shared < least)
+    return np.where(none, -1, to), np.where(none, 0, shared)
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each start the length (at most depth) of its longest previous factor among the starts, 0 if it is shorter
+    than least, and the number of the start where that factor is (its own number if there is none)."""
+    order = suffix_order(data, starts, depth)
+    places = starts[order]
+    common = common_prefixes(data, places, depth)
+    before, with_before = previous_smaller(places, common, least)
+    # The same from the other end; each suffix's common bytes are then those with the next one.
+    after, with_after = previous_smaller(places[::-1], np.r_[0, common[:0:-1]], least)
+    after, with_after = np.where(after < 0, -1, len(order) - 1 - after)[::-1], with_after[::-1]
+    best = np.where(with_before >= with_after, before, after)
+    factor, source = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    factor[order] = np.maximum(with_before, with_after)
+    source[order] = np.where(best < 0, order, order[best])
+    return factor, source
+
+
+def earliest(pieces: list[bytes], counts: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each window of the segments, which are in the order of docs, the smallest document that holds it."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = counts + window - 1
+    starts = spread(np.cumsum(lengths) - lengths, counts)
+    factor, source = longest_previous_factors(data, starts, window, window)
+    first = np.where(factor >= window, source, np.arange(len(starts)))
+    while (then := first[first]).tobytes() != first.tobytes():
+        first = then
+    return np.repeat(docs, counts)[first]
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of the suffix at each position by its first depth bytes (8 at least), by prefix doubling."""
-    rank, known = dense(packed(data)), 8
-    n = np.uint64(len(data) + 1)
-    while known < depth:
-        step = min(known, depth - known)
-        ahead = np.concatenate([rank[step:] + np.uint64(1), np.zeros(min(step, len(rank)), np.uint64)])[: len(rank)]
-        rank = dense(rank * n + ahead)
-        known += step
-    return rank
+def read(texts: list[bytes]) -> Buffer:
+    raw = b"".join(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
 
+    def result(k: int, doc, gone: np.ndarray) -> tuple:
+        data = np.frombuffer(texts[k], np.uint8)
+        spans = int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum())
+        return doc, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
-def window_starts(lengths: np.ndarray, window: int) -> np.ndarray:
-    """The positions at which windows start, in segments of these lengths put together."""
-    counts = lengths - window + 1
-    begin = np.cumsum(lengths) - lengths
-    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return Buffer(np.frombuffer(raw, np.uint8), lengths, lambda a, b: raw[a:b], result)
 
 
-def earliest(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each window of the segments, which are in the order of docs, the smallest document that holds it."""
-    starts = window_starts(lengths, window)
-    rank = suffix_ranks(data, window)[starts]
-    order = np.argsort(rank, kind="stable")  # suffix order, equals by position
-    sorted_rank = rank[order]
-    first = np.flatnonzero(np.r_[True, sorted_rank[1:] != sorted_rank[:-1]])
-    run = np.repeat(first, np.diff(np.r_[first, len(order)]))  # the end of each chain of previous smaller positions
-    doc = np.repeat(docs, lengths - window + 1)
-    out = np.empty(len(order), np.int64)
-    out[order] = doc[order[run]]
-    return out
-
-
-def lpf(data: bytes) -> list[int]:
-    """The longest-previous-factor array of a short text, by previous and next smaller positions in suffix order."""
-    n = len(data)
-    order = sorted(range(n), key=lambda i: data[i:])
-    out = [0] * n
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < n and data[i + k] == data[j + k]:
-            k += 1
-        return k
-
-    for sequence in (order, order[::-1]):
-        stack: list[int] = []
-        for i in sequence:
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                out[i] = max(out[i], common(stack[-1], i))
-            stack.append(i)
-    return out
-
-
-KIND = Kind(WINDOW, GRAM, byte_symbols, byte_grams, earliest, 1, np.ndarray.tobytes, lambda raw: np.frombuffer(raw, np.uint8))
+KIND = Kind(WINDOW, GRAM, read, byte_grams, earliest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each text without the bytes of repeated windows."""
-    rows = rows_for(docs)
-    both = rows.join(repeats(rows, KIND), ["doc", "row"], "left").select("doc", "text", "starts", "counts")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, text, starts, counts in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["counts"], strict=True):
-                data = byte_symbols(text)
-                gone = covered(KIND, len(data), starts, counts)
-                spans = int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum())
-                out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = both.mapInPandas(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = repeats(docs, KIND)
     return out.select(real_id("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import NULL_ID, known_id, new_path, partitions, real_id, saved, small_batches
+from metaloom.llm.base import NULL_ID, folder as folder_of, known_id, new_path, partitions, real_id, saved, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 26, 3
 #: Magic numbers of the seekable format (fixed values): of the skippable frame, and of the seek table's footer.
@@ -42,13 +42,6 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def _files(uri: str):
-    """A file system that reaches the shared folder from any task, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _urn(page: int) -> str:
     return "urn:page:" + ("null" if page == NULL_ID else str(page))
 
@@ -154,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     rows = rows.join(last.select("digest", "last"), "digest", "left")
 
     def write(batches):
-        files, base = _files(folder)
+        files, base = folder_of(folder)
         files.create_dir(base, recursive=True)
         writer = name = None
         index: list = []
@@ -194,7 +187,7 @@ def read_archives(spark, index: DataFrame) -> DataFrame:
             out = []
             for bundle, frame, records in zip(pdf["bundle"], pdf["frame"], pdf["records"], strict=True):
                 if bundle != at:
-                    files, path = _files(bundle)
+                    files, path = folder_of(bundle)
                     reader, at = BundleReader(files.open_input_file(path)), bundle
                 data = reader.frame(int(frame))
                 for x in records:
@@ -220,7 +213,7 @@ def read_archives(spark, index: DataFrame) -> DataFrame:
 def fetch(index: DataFrame, page_id: int) -> bytes:
     """The payload of one page, by its frame; a revisit is followed to its response."""
     row = index.filter(F.col("page") == page_id).first()
-    files, path = _files(row["bundle"])
+    files, path = folder_of(row["bundle"])
     head, block, _ = parsed(BundleReader(files.open_input_file(path)).frame(row["frame"]), row["at"])
     if head["WARC-Type"] == "revisit":
         return fetch(index, _id(head["WARC-Refers-To"]))

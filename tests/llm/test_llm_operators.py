@@ -86,30 +86,61 @@ def test_windows_with_repeated_ids_and_rows(spark, corpus):
     assert next(r for r in rows if r["doc_id"] == 9)["n_removed"] == len(text.encode())
 
 
-def test_lpf_slices_do_not_matter(corpus, monkeypatch):
-    s = lpf.byte_symbols(corpus[20] * 5)
-    whole = [np.concatenate(x) for x in zip(*anchors.segments(lpf.KIND, s), strict=True)]
+def test_slices_do_not_matter(corpus, monkeypatch):
+    buffer = lpf.read([corpus[k].encode() for k in (20, 21, 20, 22)])
+    windows = lambda: {w: (a, o) for a, f, c, o in zip(*[np.concatenate(x) for x in list(zip(*anchors.segments(lpf.KIND, buffer.symbols, buffer.lengths), strict=True))[:4]], strict=True) for w in range(f, f + c)}
+    whole = windows()
     monkeypatch.setattr(anchors, "SLICE", 100)
-    cut = [np.concatenate(x) for x in zip(*anchors.segments(lpf.KIND, s), strict=True)]
-    windows = lambda x: {w: a for a, b, e in zip(*x, strict=True) for w in range(b, e)}
-    assert windows(whole) == windows(cut)
+    assert whole == windows()
+    ends = np.cumsum(buffer.lengths)
+    assert set(whole) == {w for e, n in zip(ends, buffer.lengths, strict=True) for w in range(e - n, e - 49)}
 
 
 def test_lpf_array():
-    data = b"abaababaabb"
-    brute = [max((k for j in range(i) for k in range(len(data) - i + 1) if data[i : i + k] == data[j : j + k]), default=0) for i in range(len(data))]
-    assert lpf.lpf(data) == brute
+    r = random.Random(3)
+    for data in [b"abaababaabb", b"aaaaaaaaaaaa", bytes(r.choices(b"ab", k=90)), bytes(r.choices(b"abc", k=60)) * 2]:
+        n = len(data)
+        brute = [max((k for j in range(i) for k in range(n - i + 1) if data[i : i + k] == data[j : j + k]), default=0) for i in range(n)]
+        factor, source = lpf.longest_previous_factors(np.frombuffer(data, np.uint8), np.arange(n), 200)
+        assert factor.tolist() == brute
+        for i, (k, j) in enumerate(zip(factor, source, strict=True)):
+            assert (k == 0 and j == i) or (j < i and data[i : i + k] == data[j : j + k])
+
+
+def test_lpf_of_windows():
+    r = random.Random(4)
+    pieces = [bytes(r.choices(b"ab", k=r.randint(12, 30))) for _ in range(60)]
+    counts = np.array([len(p) - 11 for p in pieces])
+    first = {}
+    for d, p in enumerate(pieces):
+        for i in range(len(p) - 11):
+            first.setdefault(p[i : i + 12], d)
+    want = [first[p[i : i + 12]] for p in pieces for i in range(len(p) - 11)]
+    assert lpf.earliest(pieces, counts, np.arange(60), 12).tolist() == want
 
 
-def test_fm_index_search():
+def test_fm_index_statistics_and_places():
     r = random.Random(1)
-    sequence = np.array([r.randint(1, 5) for _ in range(300)] + [0])
-    index = fmindex.FMIndex(sequence, 4)
-    starts = np.arange(200)
-    lo, hi = index.search(sequence, starts, 4)
-    for s in starts:
-        places = {i for i in range(297) if (sequence[i : i + 4] == sequence[s : s + 4]).all()}
-        assert (hi[s] - lo[s] == 0 and len(places) == 1) or set(index.suffixes[lo[s] : hi[s]]) == places
+    sequence = np.concatenate([[*(r.randint(1, 5) for _ in range(r.randint(6, 12))), 0] for _ in range(50)])
+    index = fmindex.FMIndex(sequence, 12)
+    starts = np.array([i for i in range(len(sequence) - 6) if 0 not in sequence[i : i + 6]])
+    statistic, lo, hi = index.matching(sequence, starts, 6)
+    assert len(index.samples) < len(sequence) / 2
+    for s, k, a, b in zip(starts, statistic, lo, hi, strict=True):
+        ends = lambda m: {i for i in range(len(sequence)) if (sequence[i : i + m].tolist() == sequence[s + 6 - m : s + 6].tolist())}
+        assert k == max(m for m in range(7) if m == 0 or len(ends(m)) > 1)
+        assert set(index.locate(np.arange(a, b))) == (ends(6) if k == 6 else set())
+
+
+def test_fm_index_holders():
+    r = random.Random(7)
+    pieces = [[b"%d" % r.randint(0, 2) for _ in range(r.randint(5, 9))] for _ in range(200)]
+    first, docs = {}, np.repeat(np.arange(100), 2)
+    for d, p in zip(docs, pieces, strict=True):
+        for i in range(len(p) - 4):
+            first.setdefault(tuple(p[i : i + 5]), d)
+    want = [first[tuple(p[i : i + 5])] for p in pieces for i in range(len(p) - 4)]
+    assert fmindex.earliest([b" ".join(p) for p in pieces], np.array([len(p) - 4 for p in pieces]), docs, 5).tolist() == want
 
 
 def test_line_dedup_against_brute_force(spark, corpus):
