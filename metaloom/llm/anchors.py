@@ -24,17 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import MIX_A, discard, known_id, mixed, partitions, saved, small_batches
+from metaloom.llm.base import MIX_A, known_id, mixed, partitions, saved, small_batches
 
 #: Symbols that are scanned at a time, and of one shard's index.
 SLICE, SHARD_SYMBOLS = 1 << 19, 1 << 19
 #: Segments below an anchor, beyond which its windows are dealt out one by one.
 HOT_SEGMENTS = 4096
-#: Bytes of text in a chunk and in what a bucket stands for; anchors that a task keeps before it sends them.
-CHUNK_BYTES, BUCKET_BYTES, KEPT_ANCHORS = 1 << 23, 1 << 23, 1 << 21
+#: Bytes of text in a chunk (at least and at most, or one long text), and in what a bucket stands for; anchors that a
+#: task keeps before it sends them.
+LEAST_CHUNK_BYTES, CHUNK_BYTES, BUCKET_BYTES, KEPT_ANCHORS = 1 << 18, 1 << 23, 1 << 23, 1 << 21
 _LOW, _HALF = np.uint64((1 << 21) - 1), np.uint64(32)
 _NONE = np.zeros(0, np.int64)
 
@@ -144,24 +147,50 @@ def together(arrays) -> np.ndarray:
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, idx, doc, text) as a table, in chunks of about CHUNK_BYTES or of one long text; and the bytes of all."""
+    """(chunk, docs, sizes, data): the rows in order, packed in chunks of a bounded size, and the bytes of all texts."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(known_id().alias("doc"), text.alias("text"))
-    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    each = max(1, total // max(1, n))
-    bits = max(0, (CHUNK_BYTES // each).bit_length() - 1)
-    rows = rows.withColumn("idx", F.monotonically_increasing_id())
-    # A text of many times the mean is a chunk alone, so no chunk is larger than eight times the aim.
-    chunk = F.when(F.octet_length("text") > 8 * each, -1 - F.col("idx")).otherwise(F.shiftright("idx", bits))
-    return saved(rows.withColumn("chunk", chunk), "chunks"), total
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    most = min(CHUNK_BYTES, max(LEAST_CHUNK_BYTES, total // (2 * partitions(spark))))
+
+    def pack(batches):
+        chunk, texts, ids, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def row():
+            return pd.DataFrame({"chunk": [chunk], "docs": [np.array(ids, np.int64)], "sizes": [np.fromiter(map(len, texts), np.int32)], "data": [_squeezed(b"".join(texts))]})
+
+        for pdf in batches:
+            for doc, raw in zip(pdf["doc"], pdf["text"], strict=True):
+                if texts and (size + len(raw) > most or len(texts) >= 1 << 16):
+                    yield row()
+                    chunk, texts, ids, size = chunk + 1, [], [], 0
+                texts.append(raw)
+                ids.append(doc)
+                size += len(raw)
+        if texts:
+            yield row()
+
+    small_batches(spark)
+    return saved(rows.mapInPandas(pack, "chunk long, docs array<long>, sizes array<int>, data binary"), "chunks"), total
+
+
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _pieces(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return list(map(raw.__getitem__, map(slice, (ends - sizes).tolist(), ends.tolist())))
 
 
 def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """For each row its id (as ``doc``) and the columns of the kind."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
     rows, total = chunked(docs)
     buckets = max(4 * partitions(spark), total // BUCKET_BYTES)
+    small_batches(spark, 4)  # a row is a chunk, or what a chunk and a bucket have to do with each other
 
     def anchor_rows(batches):
         kept: dict[int, list] = {}
@@ -181,8 +210,8 @@ def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
                 yield pd.DataFrame({"bucket": b, "chunk": chunk, "keys": [keys[s].view(np.int64) for s in cut], "low": [low[s] for s in cut], "n": [n[s] for s in cut]})
 
         for pdf in batches:
-            for chunk, part in pdf.groupby("chunk", sort=False):
-                buffer, doc = kind.read(part["text"].to_list()), part["doc"].to_numpy()
+            for chunk, doc, sizes, data in zip(pdf["chunk"], pdf["docs"], pdf["sizes"], pdf["data"], strict=True):
+                buffer = kind.read(_pieces(data, sizes))
                 for key, _, _, owner, *_ in segments(kind, buffer.symbols, buffer.lengths):
                     if len(key):
                         kept.setdefault(chunk, []).append((key, doc[owner]))
@@ -206,18 +235,17 @@ def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
         out = pd.DataFrame({"chunk": pdf["chunk"], **{c: [k[s == x] for k, s in zip(pdf["keys"], state, strict=True)] for c, x in (("cold", 1), ("hot", 2))}})
         return out[[bool(s.any()) for s in state]]
 
-    sent = rows.select("chunk", "doc", "text").mapInPandas(anchor_rows, "bucket long, chunk long, keys array<long>, low array<long>, n array<int>")
+    sent = rows.mapInPandas(anchor_rows, "bucket long, chunk long, keys array<long>, low array<long>, n array<int>")
     shared = saved(sent.groupBy("bucket").applyInPandas(answered, "chunk long, cold array<long>, hot array<long>"), "shared")
 
     def below(left: pd.DataFrame, right: pd.DataFrame):
         """The chunk's texts, its segments, and the numbers of the different ones, in an order that is always the same."""
-        left = left.sort_values("idx")
-        buffer = kind.read(left["text"].to_list())
+        buffer = kind.read(_pieces(left["data"].iloc[0], left["sizes"].iloc[0]))
         cold, hot = (np.unique(together(right[c]).view(np.uint64)) for c in ("cold", "hot"))
         key, first, count, owner = held(kind, buffer, cold, hot)
         ends = first + count + kind.window - 1
         ids, of, new = numbered(map(buffer.cut, first.tolist(), ends.tolist()))
-        return left["doc"].to_numpy(), buffer, (key, first, count, owner), ids, of, new, np.argsort(key[new], kind="stable")
+        return left["docs"].iloc[0], buffer, (key, first, count, owner), ids, of, new, np.argsort(key[new], kind="stable")
 
     def segment_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "chunk", "keys", "docs", "counts", "sizes", "data"]
@@ -231,18 +259,12 @@ def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
         sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
         b, a, z = by_bucket(keys, buckets)
         cut = [slice(*x) for x in zip(a.tolist(), z.tolist(), strict=True)]
-        return pd.DataFrame({"bucket": b, "chunk": left["chunk"].iloc[0], "keys": [keys[s].view(np.int64) for s in cut], "docs": [low[s] for s in cut], "counts": [counts[s] for s in cut], "sizes": [sizes[s] for s in cut], "data": [b"".join(pieces[s]) for s in cut]})
+        return pd.DataFrame({"bucket": b, "chunk": left["chunk"].iloc[0], "keys": [keys[s].view(np.int64) for s in cut], "docs": [low[s] for s in cut], "counts": [counts[s] for s in cut], "sizes": [sizes[s] for s in cut], "data": [_squeezed(b"".join(pieces[s])) for s in cut]})
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of a bucket: for each chunk the smallest document of each window that it sent, as runs of equal values."""
         keys, docs, counts = (np.concatenate(pdf[c].to_list()) for c in ("keys", "docs", "counts"))
-
-        def pieces():
-            for data, sizes in zip(pdf["data"], pdf["sizes"], strict=True):
-                ends = np.cumsum(sizes)
-                yield from map(data.__getitem__, map(slice, (ends - sizes).tolist(), ends.tolist()))
-
-        ids, of, new = numbered(pieces())
+        ids, of, new = numbered(p for data, sizes in zip(pdf["data"], pdf["sizes"], strict=True) for p in _pieces(data, sizes))
         text, low = list(ids), least_of(of, docs, len(ids))
         count = counts[new].astype(np.int64)
         offset = np.cumsum(count) - count

@@ -32,7 +32,7 @@ def test_hot_anchors_are_dealt_out_by_window(spark, monkeypatch, texts, kind):
     want = found(spark, texts, kind)
     assert sum(r[2] for r in want) > 0
     monkeypatch.setattr(anchors, "HOT_SEGMENTS", 3)
-    monkeypatch.setattr(anchors, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(anchors, "LEAST_CHUNK_BYTES", 500)
     monkeypatch.setattr(anchors, "SHARD_SYMBOLS", 200)
 
     def single(pieces, counts, docs):
