@@ -3,12 +3,15 @@
 A cascade of transducers reads a clause word by word.  The first is a trie over letters that turns words into classes:
 insult, threat, target, negation, reported speech, other; it takes whole words and learned stems.  The next three are
 letter-to-letter machines over classes that mark an insult or threat as targeted, as negated, and as reported.  They are
-composed into one machine whose states are the reachable tuples.  A match's class and marks name one of 16 patterns;
+composed into one machine whose states are the reachable tuples; a second machine reads the clause from its end, for
+targets that follow ("kill you").  A match's class and marks name one of 16 patterns;
 a text's score is a logistic function of the weighted counts of its matched patterns, so it is clauses that score.
 
 The stems and weights are learned from labelled rows: a prefix becomes a stem if toxic texts hold it far more often than
 chance allows, after a correction for the number of prefixes tried; weights are the most probable ones given the
-labels and prior weights, so a pattern that no labelled text shows keeps its prior.  Training takes at most
+labels and prior weights, so a pattern that no labelled text shows keeps its prior.  Whatever the labels say, the
+composition holds: one unmarked insult or threat in a text is no toxic text, nor is a negated or reported one; one that
+is aimed at a target is.  It takes several unmarked clauses to be toxic.  Training takes at most
 ``TrainingBound.rows`` labelled rows and ``TrainingBound.bytes`` bytes of text, chosen by a hash of the id.
 
 Results for odd input.  A null, empty or wordless text has no match and so the lowest score.  Rows are scored each by
@@ -40,11 +43,13 @@ SEEDS = {
     NEGATION: "not never no nobody isn't aren't wasn't don't nicht kein keine niemals pas jamais aucun nunca jamás ningún",
     REPORT: "said says wrote quoted called claimed according sagte schrieb nannte behauptete dit écrit prétend selon dijo escribió llamó según",
 }
-#: Words that a negation and a target reach ahead.
-NEGATION_REACH, TARGET_REACH = 3, 6
+#: Words that a negation and a target reach ahead, and that a target reaches back.
+NEGATION_REACH, TARGET_REACH, BACK_REACH = 3, 6, 3
 #: Prior weights: of a clean text, of an insult, of a threat, and of the marks.
-PRIOR = {"base": -3.0, "insult": 4.0, "threat": 3.0, TARGETED: 0.5, NEGATED: -1.5, REPORTED: -1.5}
+PRIOR = {"base": -4.0, "insult": 3.3, "threat": 3.3, TARGETED: 1.8, NEGATED: -1.5, REPORTED: -1.5}
 PRIOR_SD = 3.0
+#: The threshold of a toxic text as a logit, and how far from it a text with a single match stays.
+TOXIC, MARGIN = math.log(0.7 / 0.3), 0.2
 LEAST_STEM, MOST_STEM, PRECISION, CHANCE = 3, 10, 0.9, 0.01
 
 _WORD = regex.compile(r"[\p{L}\p{N}_]+(?:['’][\p{L}]+)?")
@@ -130,9 +135,24 @@ def composed(*machines) -> tuple[list[list[int]], list[list[int]]]:
 
 
 GOES, MARKS = composed(_reach(TARGET, TARGET_REACH, TARGETED), _reach(NEGATION, NEGATION_REACH, NEGATED), _until_end(REPORT, REPORTED))
+BACK_GOES, BACK_MARKS = composed(_reach(TARGET, BACK_REACH, TARGETED))
 N_PATTERNS = 16
 
 
+def marked(symbols: list[int]) -> list[tuple[int, int]]:
+    """The insults and threats of a clause, each with its marks."""
+    back, state = [], 0
+    for s in reversed(symbols):
+        back.append(BACK_MARKS[state][s])
+        state = BACK_GOES[state][s]
+    out, state = [], 0
+    for s, after in zip(symbols, reversed(back), strict=True):
+        if s in (INSULT, THREAT):
+            out.append((s, MARKS[state][s] | after))
+        state = GOES[state][s]
+    return out
+
+
 def prior_weights() -> np.ndarray:
     w = [PRIOR["base"]]
     for k in range(N_PATTERNS):
@@ -158,11 +178,8 @@ def patterns(text: str | None, lexicon: Lexicon) -> np.ndarray:
     for clause in _CLAUSE.finditer(low):
         symbols = [lexicon(w) for w in _WORD.findall(clause[0])]
         if INSULT in symbols or THREAT in symbols:
-            state = 0
-            for s in symbols:
-                if s in (INSULT, THREAT):
-                    out[8 * (s == THREAT) + MARKS[state][s]] += 1
-                state = GOES[state][s]
+            for s, marks in marked(symbols):
+                out[8 * (s == THREAT) + marks] += 1
     return np.log2(1 + out)
 
 
@@ -254,10 +271,21 @@ def fitted(texts: list[str], toxic: np.ndarray) -> Grammar:
         w += step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    grammar.weights = w
+    grammar.weights = shaped(w)
     return grammar
 
 
+def shaped(w: np.ndarray) -> np.ndarray:
+    """The nearest weights with which a single match is toxic exactly if it is targeted and neither negated nor reported."""
+    out = w.copy()
+    out[0] = min(out[0], -MARGIN)  # no match, no toxic text
+    for k in range(N_PATTERNS):
+        edge = TOXIC - out[0]
+        aimed = k % 8 == TARGETED
+        out[1 + k] = max(out[1 + k], edge + MARGIN) if aimed else min(out[1 + k], edge - MARGIN)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -269,9 +297,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBou
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size")).join(marked, "doc_id")
     taken, total = [], 0
     for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(bound.rows).collect():
+        if total + (r["size"] or 0) > bound.bytes:
+            continue  # a text that does not fit leaves room for others
         total += r["size"] or 0
-        if total > bound.bytes:
-            break
         taken.append((r["doc_id"], r["toxic"]))
     if not taken:
         return Grammar()
