@@ -105,6 +105,18 @@ def real_id(name: str) -> Column:
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until df has no such column; Spark compares names without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def utf8(text) -> bytes:
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""
 
