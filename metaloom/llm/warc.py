@@ -6,8 +6,10 @@ size of each frame), so any frame can be read alone.  The index maps a record's
 and length within the plain frame.
 
 Of records with equal payloads the one with the largest id is the response, and the others are revisit records with
-its id and without payload.  The largest id of each digest is found by an aggregate that combines before the shuffle,
-so a payload that a third of all pages share is no more work than others.
+its id and without payload.  The largest id of each digest is found by an aggregate that combines before the shuffle;
+ids and digests alone are joined with it, and pages get it back by their own id and digest.  So html is dealt by page
+and never by digest, and a payload that a third of all pages share spreads over all tasks like any other.  Frames are
+dealt to the tasks that read them back by a hash of the frame, as many tasks as the bytes of the archives ask for.
 
 Results for odd input.  A null html is an empty payload.  Rows with an equal payload and the same largest id are all
 responses.  A null id counts as the smallest; its record id ends in "null", and refers_to is null where the response
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from metaloom.llm.base import NULL_ID, folder as folder_of, known_id, new_path, partitions, real_id, saved, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 26, 3
+#: Plain bytes that a task reads back.
+READ_BYTES = 1 << 28
 #: Magic numbers of the seekable format (fixed values): of the skippable frame, and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -143,8 +147,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     rows = pages.select(known_id("page_id").alias("page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     # Only payloads that occur more than once get a last page; the rest need no more than their own row.
-    last = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(last.select("digest", "last"), "digest", "left")
+    long = rows.filter(F.octet_length("html") >= min_bytes).select("page", "digest")
+    last = long.groupBy("digest").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "last")
+    of = long.distinct().join(saved(last, "last"), "digest").filter("page < last")
+    rows = rows.join(saved(of, "revisits"), ["page", "digest"], "left")
 
     def write(batches):
         files, base = folder_of(folder)
@@ -178,8 +184,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 def read_archives(spark, index: DataFrame) -> DataFrame:
     """The records of all bundles in an index, each frame read alone and checked against the index and its digest."""
     small_batches(spark, 64)
+    size = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("at", "size", "page")).alias("records"))
-    frames = frames.repartition(partitions(spark), "bundle", "frame").sortWithinPartitions("bundle", "frame")
+    # The index is small and the archives behind it are not: the number of tasks follows the archives.
+    tasks = max(partitions(spark), size // READ_BYTES)
+    frames = frames.repartition(tasks, F.xxhash64("bundle", "frame")).sortWithinPartitions("bundle", "frame")
 
     def read(batches):
         reader = at = None
