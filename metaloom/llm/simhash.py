@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import known_id, partitions, real_id, saved, small_batches, utf8
+from metaloom.llm.base import known_id, partitions, real_id, saved, small_batches, unused, utf8
 from metaloom.llm.components import components
 from metaloom.llm.jaccard import later_copies
 
@@ -185,6 +185,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Components here are of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
     """
-    gone = later_copies(docs).withColumnRenamed("node", "__id")
-    rows = docs.withColumn("__id", known_id()).withColumn("__row", F.xxhash64("text"))
-    return rows.join(gone, "__id", "left_anti").dropDuplicates(["__id", "__row"]).select(docs.columns)
+    (key,) = unused(docs, "id")
+    gone = later_copies(docs).withColumnRenamed("node", key)
+    rows = docs.withColumn(key, known_id())
+    return rows.join(gone, key, "left_anti").dropDuplicates([key, "text"]).select(docs.columns)

@@ -400,19 +400,3 @@ def test_saved_tables_can_be_discarded(spark):
     base.discard(t)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         spark.read.parquet(t._metaloom_path).count()
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline as p
-
-    source = "/root/testdata/sf0.001"
-    documents = spark.read.parquet(f"{source}/documents.parquet")
-    d = documents
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, d, source)
-        assert out.columns == documents.columns, name
-        assert out.dtypes == documents.dtypes, name
-        d = base.saved(out, "stage")
-        assert 0 < d.count() <= documents.count()
-    last = p.STAGES[-1][1](spark, d, source)
-    assert last.count() == d.count()
