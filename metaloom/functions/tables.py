@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where that is unset."""
+    """spark.checkpoint.dir; only in local mode a new folder takes its place if it is unset, on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="metaloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

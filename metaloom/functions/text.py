@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,53 +40,50 @@ def sentences(text: Column, least: int = 12) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: F.char_length(s) >= least)
 
 
-def chunks_of(text: str | None, target: int = TARGET, hard: int = HARD) -> list[str]:
-    """Sentences packed into chunks of about target characters; an endless sentence is cut at spaces."""
-    out, room = [], ""
-    for s in re.split(r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ])", (text or "").strip()):
-        if room and len(s) > hard:  # what came before stays before
-            out.append(room)
-            room = ""
-        while len(s) > hard:
-            cut = s.rfind(" ", 0, hard)
-            cut = cut if cut >= 100 else hard
-            out.append(s[:cut])
-            s = s[cut:].lstrip()
-        if room and s and len(room) + 1 + len(s) > target:
-            out.append(room)
-            room = s
-        elif s:
-            room = f"{room} {s}" if room else s
-    return [*out, room] if room else out
-
-
-def sentence_chunks(text: Column | str) -> Column:
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(chunks_of)
-
-    return F.pandas_udf(of, "array<string>")(text)
-
-
-def title_pair(title: str | None) -> tuple[str, str]:
-    """'Имя (Name)' as its two names; the parentheses at the end are matched from the right."""
-    t = (title or "").strip()
-    if not t.endswith(")"):
-        return t, ""
-    depth = 0
-    for i in range(len(t) - 1, -1, -1):
-        depth += (t[i] == ")") - (t[i] == "(")
-        if depth == 0:
-            return t[:i].strip(), t[i + 1 : -1].strip()
-    return t, ""
-
-
-def title_names(title: Column | str) -> Column:
-    """struct(ru, en) of a title."""
-
-    def of(titles: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([title_pair(t) for t in titles], columns=["ru", "en"])
-
-    return F.pandas_udf(of, "struct<ru string, en string>")(title)
+def _parts(sentence: Column, hard: int) -> Column:
+    """A sentence as structs (p, alone): whole, or cut at the last space before hard; all parts but the last stand alone."""
+    cut = F.regexp_extract_all(sentence, F.lit(rf"(?s).{{1,{hard}}}\z|.{{100,{hard - 1}}}(?= )|.{{{hard}}}"), F.lit(0))
+    parts = F.transform(cut, lambda p, i: F.struct(F.ltrim(p).alias("p"), (i < F.size(cut) - 1).alias("alone")))
+    return F.when(F.char_length(sentence) <= hard, F.array(F.struct(sentence.alias("p"), F.lit(False).alias("alone")))).otherwise(parts)
+
+
+def sentence_chunks(text: Column, target: int = TARGET, hard: int = HARD) -> Column:
+    """Sentences packed into chunks of at most target characters, where they fit; one over hard is cut at spaces."""
+    pieces = F.flatten(F.transform(F.split(F.trim(text), SENTENCE_END), lambda s: _parts(s, hard)))
+    pieces = F.filter(pieces, lambda x: x["p"] != "")
+
+    def packed(state: Column, x: Column) -> Column:
+        room, p, alone = state["room"], x["p"], x["alone"]
+        full = (room != "") & (alone | (F.char_length(room) + 1 + F.char_length(p) > target))
+        done = F.when(full, F.array_append(state["done"], room)).otherwise(state["done"])
+        done = F.when(alone, F.array_append(done, p)).otherwise(done)
+        room = F.when(alone, F.lit("")).when(full | (room == ""), p).otherwise(F.concat(room, F.lit(" "), p))
+        return F.struct(done.alias("done"), room.alias("room"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("room"))
+    return F.aggregate(pieces, start, packed, lambda s: F.when(s["room"] != "", F.array_append(s["done"], s["room"])).otherwise(s["done"]))
+
+
+def card_text(text: Column, long: int = LONG) -> Column:
+    """What a card says of a text: all of it, or of a long one its first sentence, at most so many characters of it."""
+    first = F.element_at(F.split(text, SENTENCE_END, 2), 1)
+    first = F.when(F.char_length(first) > long, F.concat(F.rtrim(F.substring(first, 1, long)), F.lit("…"))).otherwise(first)
+    return F.when(F.char_length(text) > long, first).otherwise(text)
+
+
+def title_names(title: Column) -> Column:
+    """struct(ru, en) of a title such as 'Имя (Name)': en is the last group of parentheses, if it ends the title.
+
+    The title is read from its end; the group begins where as many have opened as closed.
+    """
+    t = F.coalesce(F.trim(title), F.lit(""))
+    sign = lambda c: (c == ")").cast("int") - (c == "(").cast("int")
+    step = lambda s, c: F.struct((s["depth"] + sign(c)).alias("depth"), (s["read"] + 1).alias("read"), F.when((s["size"] == 0) & (s["depth"] + sign(c) == 0), s["read"] + 1).otherwise(s["size"]).alias("size"))
+    size = F.aggregate(F.split(F.reverse(t), ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("size")), step, lambda s: s["size"])
+    group = F.when(F.endswith(t, F.lit(")")), size).otherwise(0)
+    ru = F.when(group == 0, t).otherwise(F.trim(F.left(t, F.char_length(t) - group)))
+    en = F.when(group == 0, F.lit("")).otherwise(F.trim(F.substring(t, F.char_length(t) - group + 2, group - 2)))
+    return F.struct(ru.alias("ru"), en.alias("en"))
 
 
 def closest(names: list[str], most: int = 2, cutoff: float = 0.7):

@@ -99,10 +99,15 @@ def owner_of(path: Column) -> Column:
 
 
 def suffix_fingerprints(files: DataFrame) -> DataFrame:
-    """(suffix, n, digest) of files (path, size, mtime_ns), in one pass over the list."""
-    line = F.concat_ws("\t", "path", "size", "mtime_ns")
+    """(suffix, n, digest) of files (path, size, mtime_ns), in one pass over the list.
+
+    A suffix's lines are hashed in 4096 groups first, and the groups' digests then, so no task holds all its lines.
+    """
+    line = F.sha2(F.concat_ws("\t", "path", "size", "mtime_ns"), 256)
     suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    return files.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    parts = files.select(suffix.alias("suffix"), line.alias("h")).groupBy("suffix", F.substring("h", 1, 3).alias("part"))
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
+    return parts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "h"))), "\n"), 256).alias("digest"))
 
 
 _NOW = """SELECT owner, sha256(string_agg(line || CASE WHEN owner % 10 = 2 THEN chr(9) || 'x' ELSE '' END, chr(10) ORDER BY line || CASE WHEN owner % 10 = 2 THEN chr(9) || 'x' ELSE '' END)) AS digest FROM line_digests WHERE owner % 10 <> 0 GROUP BY owner"""
@@ -128,7 +133,9 @@ def _(d):
     return d.documents.select("doc_id", blob_hash(F.col("text")).alias("blob"))
 
 
-@query("X10")
+@query("X10", """WITH l AS (SELECT sha256(o_orderkey || chr(9) || o_orderstatus) AS h FROM orders),
+p AS (SELECT left(h, 3) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l GROUP BY 1)
+SELECT sha256('v1' || chr(10) || string_agg(part || h, chr(10) ORDER BY part || h)) AS fingerprint FROM p""")
 def _(d):
     return corpus_fingerprint(d.orders.select(F.col("o_orderkey").cast("string"), "o_orderstatus"), "v1")
 
@@ -208,8 +215,9 @@ def _(d):
     return stale_debt(restaled(d.g_callsites, d.g_callables.filter("NOT is_export")), ["stale_after_incremental", "error"])
 
 
-@query("T10", """SELECT suffix, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(path || chr(9) || size || chr(9) || m, chr(10) ORDER BY path || chr(9) || size || chr(9) || m)) AS digest
-FROM (SELECT source || '/' || lang || '/' || doc_id || '.' || lang AS path, n_chars AS size, doc_id % 7 AS m, '.' || lang AS suffix FROM documents) x GROUP BY suffix""")
+@query("T10", """WITH l AS (SELECT '.' || lang AS suffix, sha256(source || '/' || lang || '/' || doc_id || '.' || lang || chr(9) || n_chars || chr(9) || (doc_id % 7)) AS h FROM documents),
+p AS (SELECT suffix, left(h, 3) AS part, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l GROUP BY 1, 2)
+SELECT suffix, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(part || h, chr(10) ORDER BY part || h)) AS digest FROM p GROUP BY suffix""")
 def _(d):
     path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit("."), F.col("lang"))
     return suffix_fingerprints(d.documents.select(path.alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") % 7).alias("mtime_ns")))

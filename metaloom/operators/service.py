@@ -220,3 +220,18 @@ def _(d):
     from metaloom.operators.queries import catalog_of
 
     return d.spark.createDataFrame([(e.name, len(e.fields) + len(e.standard())) for e in catalog_of(d.g_attributes).by.values()], "parent string, n long")
+
+
+def resolved_scope(asked: Column, default: Column) -> Column:
+    """The scope of a request: what it asks for, else the default; a star is none.  A prefix of its kind is cut off."""
+    asked, default = (F.trim(F.coalesce(x, F.lit(""))) for x in (asked, default))
+    scope = F.when(asked == "*", "").when(asked != "", asked).otherwise(default)
+    return F.regexp_replace(scope, r"(?iu)^(subsystem|подсистема|подсистемы)\.", "")
+
+
+@query("F07", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN p_brand WHEN 3 THEN p_brand ELSE CASE WHEN p_size > 20 THEN '' ELSE 'N1' END END AS scope FROM part""")
+def _(d):
+    k = F.col("p_partkey") % 5
+    asked = F.when(k == 0, F.concat(F.lit(" "), "p_brand", F.lit(" "))).when(k == 1, F.lit(" * ")).when(k == 2, F.concat(F.lit("Subsystem."), "p_brand")).when(k == 3, F.concat(F.lit("подсистемы."), "p_brand"))
+    default = F.when(F.col("p_size") <= 20, F.lit("Подсистема.N1"))
+    return d.part.select("p_partkey", resolved_scope(asked, default).alias("scope"))

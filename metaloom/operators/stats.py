@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaloom.operators.paging import clamped
@@ -264,3 +265,31 @@ def _(d):
 @query("Q02_rollup", """SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def _(d):
     return d.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+
+
+def usage_differences(registered: DataFrame, declared: DataFrame, calls: DataFrame) -> DataFrame:
+    """(tool, state) of three sets of tools: registered but never called, called but unknown, registered but not declared."""
+    called = calls.select(F.col("tool_name").alias("tool")).distinct()
+    state = lambda a, b, name: a.select("tool").distinct().join(b.select("tool"), "tool", "left_anti").select("tool", F.lit(name).alias("state"))
+    return state(registered, called, "never_called").union(state(called, registered, "unknown")).union(state(registered, declared, "not_declared"))
+
+
+@query("U03", """WITH r(tool) AS (VALUES ('click'), ('view'), ('unused')), d(tool) AS (VALUES ('click'), ('unused'))
+SELECT tool, 'never_called' AS state FROM r WHERE tool NOT IN (SELECT tool_name FROM tool_calls) UNION ALL
+SELECT DISTINCT tool_name, 'unknown' FROM tool_calls WHERE tool_name NOT IN (SELECT tool FROM r) UNION ALL SELECT tool, 'not_declared' FROM r WHERE tool NOT IN (SELECT tool FROM d)""", "tool_calls")
+def _(d):
+    tools = lambda *names: d.spark.createDataFrame([(x,) for x in names], "tool string")
+    return usage_differences(tools("click", "view", "unused"), tools("click", "unused"), d.tool_calls)
+
+
+def without_pages(hits: DataFrame, key: str, limit: int, reason: str, instead: str) -> DataFrame:
+    """For each key of ranked hits, which have no pages by nature: how many came back, why, and what to do instead."""
+    by = hits.groupBy(key).agg(F.count(F.lit(1)).alias("returned"))
+    return by.select(key, F.lit("none").alias("pagination"), "returned", F.lit(False).alias("has_more"), F.lit(None).cast("int").alias("next_offset"), F.lit(limit).alias("limit"), F.lit(reason).alias("pagination_reason"), F.lit(instead).alias("pagination_instead"))
+
+
+@query("P03", """SELECT tool_name, 'none' AS pagination, CAST(least(count(*), 20) AS BIGINT) AS returned, false AS has_more, CAST(NULL AS INT) AS next_offset, CAST(20 AS INT) AS "limit", 'ranked' AS pagination_reason, 'refine' AS pagination_instead
+FROM tool_calls GROUP BY tool_name""", "tool_calls")
+def _(d):
+    ranked = d.tool_calls.withColumn("rank", F.row_number().over(W.partitionBy("tool_name").orderBy(F.desc("duration_ms"), "id"))).filter("rank <= 20")
+    return without_pages(ranked, "tool_name", 20, "ranked", "refine")

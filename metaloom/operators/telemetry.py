@@ -49,22 +49,25 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
 
 
-def assigned(calls: DataFrame, marks: DataFrame) -> DataFrame:
+def assigned(calls: DataFrame, marks: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """calls with the name of the last mark at or before each (as-of join); null before the first mark.
 
-    Both sides are bucketed by day.  Within a day a window carries marks forward; the last mark of earlier days comes
-    from a table with a row a day.  No bucket but a day's meets in one task, and no pairs are tried.
+    Both sides are bucketed by spans of time, so short that a bucket has about so many rows.  Within a bucket a window
+    carries marks forward; the last mark of earlier buckets comes from a table with a row a bucket.  No bucket but one
+    span meets in one task, and no pairs are tried.
     """
-    day = F.to_date("ts").alias("day")
     marks = marks.groupBy("ts").agg(F.max_by("name", "event_id").alias("name"))
-    last = marks.groupBy(day).agg(F.max_by("name", "ts").alias("name"))
-    days = calls.select(day).union(marks.select(day)).distinct().join(last, "day", "left")
-    earlier = days.select("day", F.last("name", ignorenulls=True).over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
-    width = [c for c in calls.columns if c != "ts"]
-    both = calls.select("ts", day, F.lit(1).alias("side"), F.struct(*width).alias("call"), F.lit(None).cast("string").alias("mark"))
-    both = both.unionByName(marks.select("ts", day, F.lit(0).alias("side"), F.lit(None).cast(both.schema["call"].dataType).alias("call"), F.col("name").alias("mark")))
-    seen = F.last("mark", ignorenulls=True).over(W.partitionBy("day").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0))
-    out = both.withColumn("mark", seen).filter("side = 1").join(earlier, "day", "left")
+    least, most, n = calls.select("ts").union(marks.select("ts")).agg(F.min(F.unix_micros(F.to_timestamp("ts"))), F.max(F.unix_micros(F.to_timestamp("ts"))), F.count(F.lit(1))).first()
+    width = max(1, ((most or 0) - (least or 0) + 1) * rows // max(1, n))
+    bucket = F.floor(F.unix_micros(F.to_timestamp("ts")) / F.lit(width)).cast("long").alias("bucket")
+    last = marks.groupBy(bucket).agg(F.max_by("name", "ts").alias("name"))
+    buckets = calls.select(bucket).union(marks.select(bucket)).distinct().join(last, "bucket", "left")
+    earlier = buckets.select("bucket", F.last("name", ignorenulls=True).over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    columns = [c for c in calls.columns if c != "ts"]
+    both = calls.select("ts", bucket, F.lit(1).alias("side"), F.struct(*columns).alias("call"), F.lit(None).cast("string").alias("mark"))
+    both = both.unionByName(marks.select("ts", bucket, F.lit(0).alias("side"), F.lit(None).cast(both.schema["call"].dataType).alias("call"), F.col("name").alias("mark")))
+    seen = F.last("mark", ignorenulls=True).over(W.partitionBy("bucket").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0))
+    out = both.withColumn("mark", seen).filter("side = 1").join(earlier, "bucket", "left")
     return out.select("ts", "call.*", F.coalesce("mark", "before").alias("mark"))
 
 

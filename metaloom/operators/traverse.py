@@ -37,11 +37,25 @@ def levels(edges: DataFrame, start: DataFrame, depth: int, until: str | None = N
     return out
 
 
+def distances(edges: DataFrame, start: DataFrame, depth: int) -> list[DataFrame]:
+    """Levels of (node, distance) from the nodes of start(node)."""
+    edges = materialized(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    out = [start.select("node", F.lit(0).alias("distance"))]
+    for k in range(1, depth + 1):
+        ahead = out[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.union, [x.select("node") for x in out])
+        level = materialized(ahead.join(seen, "node", "left_anti").select("node", F.lit(k).alias("distance")), "level")
+        if level.isEmpty():
+            break
+        out.append(level)
+    return out
+
+
 def reachable(edges: DataFrame, start: str, depth: int, limit: int, reverse: bool = False) -> DataFrame:
     """(node, min_distance) of the nodes that start leads to, or that lead to it, nearest first."""
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges
     one = edges.sparkSession.createDataFrame([(start,)], "node string")
-    found = reduce(DataFrame.union, levels(e, one, clamped(depth, 1, 10)))
+    found = reduce(DataFrame.union, distances(e, one, clamped(depth, 1, 10)))
     return found.filter("distance > 0").select("node", F.col("distance").alias("min_distance")).orderBy("min_distance", "node").limit(clamped(limit, 1, 500))
 
 
@@ -64,26 +78,27 @@ def shortest_path(edges: DataFrame, a: str, b: str, depth: int, directed: bool =
 
 
 def dependency_paths(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """(node, depth, relations, path) of all paths from a node along edges in any direction, none of which repeats an edge.
+    """(node, depth, relations, path) of the nodes that edges in any direction lead to: of the shortest paths the least.
 
-    The joins are as many as the depth, which is at most three.
+    A level keeps one path a node, as a shortest path has shortest beginnings; hubs cost their edges and not their
+    paths.  Each level is a table, so it is computed once.
     """
-    both = edges.select("rel", "src", "dst", F.xxhash64("rel", "src", "dst").alias("edge"))
-    both = both.union(both.select("rel", F.col("dst").alias("src"), F.col("src").alias("dst"), "edge"))
-    at = edges.sparkSession.createDataFrame([(start, [], [start], [])], "node string, rels array<string>, path array<string>, used array<long>")
-    out = []
+    e = edges.select("rel", "src", "dst")
+    both = materialized(e.union(e.select("rel", F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct(), "edges")
+    at = edges.sparkSession.createDataFrame([(start, 0, "", start)], "node string, depth int, relations string, path string")
+    out = [at]
     for k in range(1, clamped(depth, 1, 3) + 1):
-        step = at.join(both, (F.col("node") == F.col("src")) & ~F.array_contains("used", F.col("edge")))
-        at = step.select(F.col("dst").alias("node"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("used", F.col("edge")).alias("used"))
-        out.append(at.select("node", F.lit(k).alias("depth"), F.array_join("rels", ">").alias("relations"), F.array_join("path", ">").alias("path")))
-    return reduce(DataFrame.union, out)
+        relations = F.concat("relations", F.lit("" if k == 1 else ">"), "rel")
+        step = out[-1].join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.lit(">"), "dst").alias("path"), relations.alias("relations"))
+        seen = reduce(DataFrame.union, [x.select("node") for x in out])
+        step = step.groupBy("node").agg(F.min(F.struct("path", "relations")).alias("x")).join(seen, "node", "left_anti")
+        out.append(materialized(step.select("node", F.lit(k).alias("depth"), "x.relations", "x.path"), "paths"))
+    return reduce(DataFrame.union, out[1:])
 
 
 def dependency_tree(edges: DataFrame, start: str, depth: int = 2, limit: int = 50) -> DataFrame:
     """The nearest nodes that depend on each other with start: their least depth and path, the total, and whether more are left."""
-    paths = dependency_paths(edges, start, depth).filter(F.col("node") != start)
-    nodes = paths.groupBy("node").agg(F.min(F.struct("depth", "path", "relations")).alias("x"))
-    nodes = nodes.select("node", "x.depth", "x.relations", "x.path")
+    nodes = dependency_paths(edges, start, depth)
     total = nodes.agg(F.count(F.lit(1)).alias("total"))
     top = nodes.orderBy("depth", "node").limit(clamped(limit, 1, 100)).crossJoin(F.broadcast(total))
     return top.withColumn("truncated", F.col("total") > clamped(limit, 1, 100))

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaloom.functions import code
-from metaloom.functions.text import chunks_of, title_pair
 from metaloom.operators import graph, incremental, telemetry, traverse
 from metaloom.operators.code import fixpoint
 from metaloom.operators.paging import page_params, paged, truncated, window_of
@@ -114,11 +113,91 @@ def test_advise_and_build():
         ql.build(CATALOG, ["Справочник.Никакой"])
 
 
-def test_text_functions():
-    assert title_pair("Найти (Find (x))") == ("Найти", "Find (x)")
-    assert title_pair("Без скобок") == ("Без скобок", "") and title_pair(None) == ("", "")
-    parts = chunks_of("Аб. " * 900 + "x" * 5000)
-    assert all(len(p) <= 2000 for p in parts) and "".join(parts).replace(" ", "") == ("Аб." * 900 + "x" * 5000)
+def test_titles(spark):
+    from pyspark.sql import functions as F
+
+    from metaloom.functions.text import title_names
+
+    cases = {"Найти (Find (x))": ("Найти", "Find (x)"), "Без скобок": ("Без скобок", ""), None: ("", ""), "": ("", ""), " А ( B ) ": ("А", "B"), "a)": ("a)", ""), "(x)": ("", "x"), "f(a) (g(b)(c))": ("f(a)", "g(b)(c)"), "f(a) g": ("f(a) g", "")}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", title_names(F.col("t")).alias("n")).collect()
+    assert {r["t"]: tuple(r["n"]) for r in got} == cases
+
+
+def test_sentence_chunks_lose_nothing(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from metaloom.functions.text import sentence_chunks
+
+    r = random.Random(3)
+    sentence = lambda: "Слово " + " ".join("xyz"[: r.randint(1, 3)] * r.randint(1, 5) for _ in range(r.randint(1, 60))) + r.choice(".!?")
+    texts = [None, "", "  ", "Аб. " * 900 + "x" * 5000, "Ab " * 2000, *(" ".join(sentence() for _ in range(r.randint(1, 60))) for _ in range(20))]
+
+    def brute(text):
+        out, room = [], ""
+        for s in re.split(r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ])", text.strip()):
+            pieces = []
+            while len(s) > 2000:
+                at = s.rfind(" ", 0, 2000)
+                at = at if at >= 100 else 2000
+                pieces, s = [*pieces, s[:at]], s[at:].lstrip(" ")
+            if pieces:
+                out, room = [*out, *([room] if room else []), *pieces], ""
+            if not s:
+                continue
+            if room and len(room) + 1 + len(s) > 1200:
+                out, room = [*out, room], s
+            else:
+                room = f"{room} {s}" if room else s
+        return [*out, room] if room else out
+
+    got = {x["i"]: x["c"] for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", sentence_chunks(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        if t is not None:
+            assert list(got[i]) == brute(t)
+            assert all(len(p) <= 2000 for p in got[i]) and re.sub(r"\s", "", "".join(got[i])) == re.sub(r"\s", "", t)
+
+
+def test_no_character_of_a_text_is_in_no_chunk(spark):
+    from metaloom.operators.search import chunked
+
+    texts = ["Short one.", "w " * 150, "Mid. " + "word " * 250 + "End.", "Long. " + "Another sentence here. " * 200, "x" * 3000]
+    rows = chunked(spark.createDataFrame(list(enumerate(texts)), "page int, text string")).collect()
+    for i, t in enumerate(texts):
+        held = [r["text"] for r in sorted((r for r in rows if r["page"] == i), key=lambda r: r["chunk_index"])]
+        if len(t) <= 1500:
+            assert held == [t]
+        else:
+            assert "".join("".join(held[1:]).split()) == "".join(t.split()) and len(held[0]) <= 1501
+
+
+def test_long_descriptions_are_in_parts(spark):
+    from metaloom.operators.search import page_chunks
+
+    entries = spark.createDataFrame([(1, "м", "Имя", "First. " + "Some more words. " * 120, None, None, "", None)], "page int, label string, name string, description string, returns string, params array<string>, syntax string, example string")
+    rows = page_chunks(entries).collect()
+    assert [(r["chunk_type"], r["chunk_index"]) for r in rows] == [("card", 0), ("description", 0), ("description", 1)]
+    assert rows[0]["text"] == "[м] Имя\nFirst." and rows[2]["text"].startswith("[описание ч.2] Имя\n")
+
+
+def test_as_of_join_does_not_depend_on_buckets(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from metaloom.operators.telemetry import assigned
+
+    r = random.Random(2)
+    at = lambda: datetime(2024, 1, 1) + timedelta(seconds=r.randint(0, 400_000))
+    calls = [(i, at()) for i in range(300)]
+    marks = [(i, at(), f"m{i}") for i in range(40)]
+    c = spark.createDataFrame(calls, "id int, ts timestamp")
+    m = spark.createDataFrame(marks, "event_id int, ts timestamp, name string")
+    want = {i: max(((t, k, n) for k, t, n in marks if t <= ts), default=(0, 0, None))[2] for i, ts in calls}
+    for rows in (1_000_000, 50, 3):
+        assert {x["id"]: x["mark"] for x in assigned(c, m, rows).collect()} == want
+    assert assigned(c.limit(0), m).count() == 0 and assigned(c, m.limit(0)).filter("mark is null").count() == 300
 
 
 def test_pages(spark):

@@ -11,7 +11,7 @@ def test_escape_of_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = {k: t if t is None else re.sub(r'([+\-!(){}\[\]^"~*?:\\/&|])', r"\\\1", t) for k, t in texts.items()}
     assert any(len(t or "") > 60 for t in texts.values())
-    assert {r["doc_id"]: r["q"] for r in QUERIES["X01_whole"](spark, SF).collect()} == want
+    assert {r["doc_id"]: r["q"] for r in QUERIES["X01"](spark, SF).collect()} == want
 
 
 def test_sources_of_all_texts(spark):
@@ -19,4 +19,4 @@ def test_sources_of_all_texts(spark):
     table = lambda k: "Справочник.ordrs" if k % 11 == 0 else "Справочник.orders"
     want = sorted(x for k in ids for x in ((k, table(k), "Т", ""), (k, "Справочник.customer", "Ц", "left"), (k, "Вт", "", "")))
     assert any(k % 11 == 0 for k in ids)
-    assert sorted((r["id"], r["source"], r["alias"], r["joined"]) for r in QUERIES["Q02_whole"](spark, SF).collect()) == want
+    assert sorted((r["id"], r["source"], r["alias"], r["joined"]) for r in QUERIES["Q02"](spark, SF).collect()) == want
