@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
 
 A text is cut into special tokens and pre-tokens as the tokenizer's file says.  Short pre-tokens are encoded by the
-tokenizers library and remembered.  A pre-token longer than a leaf is halved until the pieces are leaves, all leaves
-are encoded in parallel, and neighbours are joined up the tree: a window of tokens around each join is encoded again
-and grows until it agrees with the tokens on both sides.  Two sides agree if the pair of tokens that meet there is
-what the encoding of their joined bytes gives; a sequence in which all neighbours agree is the encoding of the whole.
+tokenizers library and remembered.  A pre-token longer than a leaf is halved until the pieces are leaves, and
+neighbours are joined up the tree: a window of tokens around each join is encoded again and grows until it agrees with
+the tokens on both sides.  Two sides agree if the pair of tokens that meet there is what the encoding of their joined
+bytes gives; a sequence in which all neighbours agree is the encoding of the whole.
+
+Pre-tokens of more than ``SPREAD`` bytes are not left to the task of their text.  Their halves are rows of their own,
+once for each different pre-token, and are encoded by all tasks in parallel; a level of joins is a grouped job, in
+which each pair of neighbours is a group.  Texts then get the outcomes back by the pre-token's SHA-256.
 
 Results for odd input.  A null text is an empty one, with no tokens.  Repeated rows and ids are rows of their own; a
 null doc_id stays null; other columns are ignored; an empty table gives an empty result.
@@ -22,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import small_batches
+from metaloom.llm.base import partitions, saved, small_batches
 
 #: Bytes of a pre-token that is encoded at once.
 LEAF = 256
+#: Bytes of a pre-token that is dealt to several tasks, and of the pieces that it is dealt in.
+SPREAD = 1 << 16
 #: Pre-tokens that a worker remembers.
 REMEMBERED = 1 << 18
 #: The pre-tokens of the byte-level files (fixed value, published with that vocabulary).
@@ -64,6 +70,8 @@ class Codec:
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.find = regex.compile(PATTERN).findall
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: Encodings of a text's pre-tokens that other tasks have made, by their SHA-256.
+        self.given: dict[bytes, list[int]] = {}
 
     def _leaf(self, data: bytes) -> list[int]:
         """BPE of bytes that no pre-tokenizer may cut."""
@@ -103,12 +111,19 @@ class Codec:
     def _word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
         if len(data) > self.leaf:
-            return self.tree(data)
+            ids = self.given.get(hashlib.sha256(data).digest()) if self.given else None
+            return self.tree(data) if ids is None else ids
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         ids = self.known[word] = self._leaf(data)
         return ids
 
+    def long_words(self, text: str, spread: int) -> list[bytes]:
+        """The different pre-tokens of more than so many bytes."""
+        plain = self.cut.split(text) if self.cut else [text]
+        words = {w for part in plain for w in self.find(part) if 4 * len(w) > spread}
+        return [data for data in (w.encode("utf-8", "replace") for w in sorted(words)) if len(data) > spread]
+
     def encode(self, text: str) -> list[int]:
         if self.cut and self.cut.search(text):
             out, at = [], 0
@@ -134,7 +149,49 @@ def codec(path: str, leaf: int = LEAF) -> Codec:
     return Codec(path, leaf)
 
 
-def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids: bool = False) -> DataFrame:
+def halves(data: bytes, most: int) -> list[bytes]:
+    """data halved until no piece is longer than most: a power of two of pieces."""
+    n = 1
+    while n * most < len(data):
+        n *= 2
+    ends = [len(data) * k // n for k in range(n + 1)]
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def spread_words(rows: DataFrame, path: str, leaf: int, spread: int) -> DataFrame | None:
+    """(text_key, given) for rows (text_key, text) with long pre-tokens: array of (word, ids); None if there are none."""
+
+    def pieces(batches):
+        c = codec(path, leaf)
+        for pdf in batches:
+            out = [(key, hashlib.sha256(w).digest(), k, p) for key, text in zip(pdf["text_key"], pdf["text"], strict=True) for w in c.long_words(text, spread) for k, p in enumerate(halves(w, spread))]
+            yield pd.DataFrame(out, columns=["text_key", "word", "k", "piece"])
+
+    found = saved(rows.mapInPandas(pieces, "text_key string, word binary, k int, piece binary"), "pieces")
+    depth = found.agg(F.max("k")).first()[0]
+    if depth is None:
+        return None
+
+    def leaves(batches):
+        c = codec(path, leaf)
+        for pdf in batches:
+            yield pd.DataFrame({"word": pdf["word"], "k": pdf["k"], "ids": [c.tree(p) for p in pdf["piece"]]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, pdf = codec(path, leaf), pdf.sort_values("k")
+        left, right = ([int(i) for i in x] for x in (pdf["ids"].iloc[0], pdf["ids"].iloc[1] if len(pdf) > 1 else []))
+        return pd.DataFrame({"word": pdf["word"].iloc[:1], "k": [int(pdf["k"].iloc[0]) // 2], "ids": [c.join(left, right)]})
+
+    schema = "word binary, k int, ids array<int>"
+    one = found.groupBy("word", "k").agg(F.min("piece").alias("piece")).repartition(partitions(rows.sparkSession), "word", "k")
+    level = saved(one.mapInPandas(leaves, schema), "leaves")
+    for _ in range(int(depth).bit_length()):
+        level = saved(level.groupBy("word", F.floor(F.col("k") / 2).alias("pair")).applyInPandas(joined, schema), "level")
+    of = found.select("text_key", "word").distinct().join(level.select("word", "ids"), "word")
+    return of.groupBy("text_key").agg(F.collect_list(F.struct("word", "ids")).alias("given"))
+
+
+def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids: bool = False, spread: int = SPREAD) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for, of each text."""
     small_batches(docs.sparkSession)
     path = path or default_path()
@@ -143,7 +200,8 @@ def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids
         c = codec(path, leaf)
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
+            for text, given in zip(pdf["text"], pdf["given"], strict=True):
+                c.given = {bytes(x["word"]): [int(i) for i in x["ids"]] for x in given} if given is not None else {}
                 ids = c.encode(text or "")
                 row = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
                 rows.append((*row, ids) if with_ids else row)
@@ -152,4 +210,12 @@ def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids
             yield out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = F.coalesce(F.octet_length("text") > spread, F.lit(False))
+    keyed = rows.filter(long).withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
+    given = spread_words(keyed.select("text_key", "text"), path, leaf, spread)
+    if given is None:
+        rows = rows.withColumn("given", F.lit(None).cast("array<struct<word:binary,ids:array<int>>>"))
+    else:
+        rows = keyed.join(saved(given, "given"), "text_key", "left").drop("text_key").unionByName(rows.filter(~long), allowMissingColumns=True)
+    return rows.select("doc_id", "text", "given").mapInPandas(run, schema)

@@ -90,14 +90,16 @@ def test_html_of_an_empty_table(spark):
     assert htmlcrf.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_bpe_of_long_texts(spark):
+@pytest.mark.parametrize("spread", [bpe.SPREAD, 700])
+def test_bpe_of_long_texts(spark, spread):
     import random
 
     from tokenizers import Tokenizer
 
     tok, r = Tokenizer.from_file(bpe.default_path()), random.Random(17)
     texts = ["".join(r.choices("abcdeth", k=20_000)), "=" * 5_000, "é" * 3_000 + " ordinary words " + "-" * 700, None, ""]
-    got = {x["doc_id"]: x for x in bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()}
+    texts += [texts[0], texts[0][:9_999] + " " + texts[1] + "<|endoftext|>" + texts[2]]
+    got = {x["doc_id"]: x for x in bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True, spread=spread).collect()}
     for i, t in enumerate(texts):
         assert list(got[i]["ids"]) == tok.encode(t or "", add_special_tokens=False).ids
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
