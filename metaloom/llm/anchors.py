@@ -37,7 +37,7 @@ SLICE, SHARD_SYMBOLS = 1 << 19, 1 << 19
 HOT_SEGMENTS = 4096
 #: Bytes of text in a chunk (at least and at most, or one long text), and in what a bucket stands for; anchors that a
 #: task keeps before it sends them.
-LEAST_CHUNK_BYTES, CHUNK_BYTES, BUCKET_BYTES, KEPT_ANCHORS = 1 << 18, 1 << 23, 1 << 23, 1 << 21
+LEAST_CHUNK_BYTES, CHUNK_BYTES, BUCKET_BYTES, KEPT_ANCHORS = 1 << 18, 1 << 22, 1 << 23, 1 << 20
 _LOW, _HALF = np.uint64((1 << 21) - 1), np.uint64(32)
 _NONE = np.zeros(0, np.int64)
 
@@ -189,7 +189,7 @@ def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """For each row its id (as ``doc``) and the columns of the kind."""
     spark = docs.sparkSession
     rows, total = chunked(docs)
-    buckets = max(4 * partitions(spark), total // BUCKET_BYTES)
+    buckets = max(2 * partitions(spark), total // BUCKET_BYTES)
     small_batches(spark, 4)  # a row is a chunk, or what a chunk and a bucket have to do with each other
 
     def anchor_rows(batches):
