@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metaloom.llm import jaccard, simhash
 
@@ -15,16 +17,19 @@ def brute_smallest(ids, texts):
     for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    label = list(range(len(ids)))
-    for _ in ids:
-        for i, a in enumerate(sets):
-            label[i] = min(label[j] for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0)
+    near = [[j for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0] for a in sets]
+    label, was = list(range(len(ids))), None
+    while label != was:
+        was = label
+        label = [min(was[j] for j in x) for x in near]
     return {ids[k] for k, x in enumerate(label) if x == k}
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_near_copies_go_whatever_their_bits(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, rounds, sample", [(64, 4, 16), (2, 1, 1)])
+def test_near_copies_go_whatever_their_bits(spark, monkeypatch, hot, rounds, sample):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
     r = random.Random(11)
     vocabulary = [f"w{k}" for k in range(400)]
     stock = " ".join(r.choices(vocabulary, k=12))
@@ -43,3 +48,37 @@ def test_near_copies_go_whatever_their_bits(spark, monkeypatch, hot):
     assert got == want
     by_bits = {x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA)).collect() if x["doc_id"] == x["component_id"]}
     assert by_bits - want  # near copies that three bits of the three-word fingerprint leave
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(60):
+        a = np.unique(np.array([r.getrandbits(64) for _ in range(r.choice([1, 30, 127, 129, 300, 1030]))], np.uint64))
+        b = np.unique(np.append(a[r.randrange(1 + len(a) // 5) :], np.array([r.getrandbits(64) for _ in range(r.randrange(1 + len(a) // 5))], np.uint64)))
+        rows.append((jaccard._bits(a).tolist(), jaccard._bits(b).tolist(), len(np.setxor1d(a, b)), len(a) + len(b)))
+    schema = "bu array<long>, bv array<long>, apart int, both int"
+    got = spark.createDataFrame(rows, schema).withColumn("d", jaccard._differing("bu", "bv")).collect()
+    assert all(x["d"] <= x["apart"] and (x["d"] - x["apart"]) % 2 == 0 for x in got)
+    assert any(len(x["bu"]) != len(x["bv"]) for x in got)
+    few = spark.createDataFrame(rows, schema).select(F.col("bu").alias("bits")).select(*jaccard._few(), "bits").collect()
+    for x in few:
+        whole = np.array(x["bits"], np.int64).reshape(-1, jaccard.FEW)
+        assert [x[c] for c in jaccard.FOLDED] == np.bitwise_xor.reduce(whole, axis=0).tolist()
+
+
+def test_a_dense_group_of_near_copies_and_one_row_many_times(spark):
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(70)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1])):
+            w[r.randrange(70)] = f"n{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:40]) + f" x{k} " + " ".join(f"y{k}{j}" for j in range(40)) for k in range(40)]
+    ids = list(range(len(texts)))
+    want = brute_smallest(ids, texts)
+    ids, texts = ids + [len(texts)] * 30, texts + ["one row that is here many times over and over"] * 30
+    got = [x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA)).collect()]
+    assert sorted(got) == sorted(want | {ids[-1]})
