@@ -25,10 +25,10 @@ def brute_smallest(ids, texts):
     return {ids[k] for k, x in enumerate(label) if x == k}
 
 
-@pytest.mark.parametrize("hot, rounds, sample", [(64, 4, 16), (2, 1, 1)])
-def test_near_copies_go_whatever_their_bits(spark, monkeypatch, hot, rounds, sample):
+@pytest.mark.parametrize("hot, block, sample", [(64, 2048, 16), (2, 3, 1)])
+def test_near_copies_go_whatever_their_bits(spark, monkeypatch, hot, block, sample):
     monkeypatch.setattr(jaccard, "HOT", hot)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard.links, "__defaults__", (block,))
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
     r = random.Random(11)
     vocabulary = [f"w{k}" for k in range(400)]
