@@ -70,6 +70,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from metaloom.llm.fim import restored, transformed
+
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    got = transformed(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(restored()).alias("restored_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from metaloom.llm.tokenfiles import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 #: Keys of at least 40 characters in at least 5 documents lose their lines in all documents but the last.
 LINE_DEDUP_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -126,9 +148,64 @@ FROM named
 """
 
 
+#: Each text is cut at two hashed places and put together in one of three forms.
+FILL_IN_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (SELECT doc_id, t, n, form, least(a, b) AS i, greatest(a, b) AS j FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>' || substr(t, i + 1, j - i)
+    ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>' || substr(t, i + 1, j - i) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+#: Prefixes are told apart by the digest of their turns; a node's figures go to all prefixes of its smallest member's path.
+PREFIX_TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+convs AS (
+  SELECT c, xor(4294967295, list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+      lambda x, y: list_reduce(list_concat([xor(x, y)], [CAST(0 AS BIGINT) for k in range(8)]),
+        lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)))) & 3 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+turns AS (
+  SELECT v.c, o.i, 0 AS part, o.role, o.text FROM convs v JOIN own o ON o.c = v.c - v.c % 20 AND o.i <= v.h
+  UNION ALL SELECT v.c, o.i, 1, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.i > v.h),
+ranked AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, role, text FROM turns),
+keyed AS (
+  SELECT c, d, sha256(string_agg(sha256(role) || sha256(text), ',') OVER (PARTITION BY c ORDER BY d)) AS k,
+    len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM ranked),
+paths AS (
+  SELECT c, 0 AS d, '' AS k, 0 AS words, NULL AS up FROM convs
+  UNION ALL SELECT c, d, k, words, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '') FROM keyed),
+ended AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM paths),
+nodes AS (
+  SELECT d, k, min(c) AS c, count(*) AS n_convs, max(words) AS words, min(up) AS up,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM ended GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(x.n, 0) AS n_children FROM nodes n LEFT JOIN kids x ON x.d = n.d AND x.k = n.k),
+below AS (
+  SELECT p.d, p.k, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves
+  FROM full_nodes n JOIN paths p ON p.c = n.c AND p.d <= n.d GROUP BY p.d, p.k)
+SELECT CAST(n.c AS BIGINT) AS conv_id, CAST(n.d AS BIGINT) AS depth, CAST(u.c AS BIGINT) AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+  CAST(n.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON b.d = n.d AND b.k = n.k LEFT JOIN nodes u ON u.d = n.d - 1 AND u.k = n.up
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL}
+    return {"op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL, "op11_prefix_trie": PREFIX_TRIE_SQL, "op12_fill_in_middle": FILL_IN_MIDDLE_SQL}
