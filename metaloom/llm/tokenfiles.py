@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -48,7 +50,12 @@ FILE_BYTES, RANGE_BYTES, LEVEL = 1 << 26, 1 << 27, 3
 #: Bytes that a task reads at once.
 READ_BYTES = 1 << 23
 #: Pieces of text that a worker remembers, and characters of the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 20, 64
+#: What is cut off the end of a piece, and the first character that no word of plain letters has.
+PUNCTUATION, UNUSUAL = ".,;:!?", "\u0500"
+#: The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = dict(zip([b for b in range(256) if b not in _PRINTS], range(256, 512)))
 MAGIC = b"MTOK"
 #: Magic, version, bytes an id, end id, SHA-256 of the dictionary; then offset and size of the index, documents, magic.
 HEAD, FOOT = struct.Struct("<4sBBI32s"), struct.Struct("<QQQ4s")
@@ -67,28 +74,56 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known = Tokenizer.from_file(path), Known(self._piece)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.width = 2 if max(self.tok.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without an end id."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({p for ps in pieces for p in ps})
-        for k in range(0, len(new), 4096):
-            for p, e in zip(new[k : k + 4096], self.tok.encode_batch_fast(new[k : k + 4096], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+        self.model = self.tok.model
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _unit(self, text: str) -> bytes:
+        """The ids of a piece without white space.  A word of plain letters is one pre-token, which goes to the model as it
+        is, in the characters that stand for its bytes; all else takes the library's whole way."""
+        word = text.lower()
+        if not word.isascii():
+            plain = word.isalpha() and max(text) < UNUSUAL and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS) if plain else ""
+        elif not word.isalpha():
+            word = ""
+        if word:
+            return self._pack([t.id for t in self.model.tokenize(word)])
+        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece; punctuation after a letter is cut off, as the tokenizer does, since few words have many ends."""
+        word = piece.rstrip(PUNCTUATION)
+        if len(word) == len(piece) or not word or not word[-1].lower().isalpha():
+            return self._unit(piece)
+        return self.known[word] + self.known[piece[len(word) :]]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, without an end id."""
+        ids = b"".join(map(self.known.__getitem__, (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")))
+        if len(self.known) > REMEMBERED:
+            for p in list(itertools.islice(self.known, REMEMBERED // 2)):
+                del self.known[p]
+        return ids
+
+
+class Known(dict):
+    """Pieces and their ids; a new piece is encoded, and remembered unless it is long."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -104,7 +139,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         e = encoder(path)
         end = np.array([end_id], e.kind).tobytes()
         for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["doc"], "ids": [ids + end for ids in e.encode(list(pdf["text"]))]})
+            yield pd.DataFrame({"doc": pdf["doc"], "ids": [e.encode(text) + end for text in pdf["text"]]})
 
     rows = docs.select(known_id().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc long, ids binary")

@@ -72,3 +72,14 @@ def test_an_empty_table(spark):
     manifest = tokenfiles.write_tokens(spark.createDataFrame([], "doc_id long, text string"))
     assert manifest.count() == 0 and tokenfiles.read_tokens(manifest).count() == 0
     assert manifest.agg(F.sum("n_ids")).first()[0] is None
+
+
+def test_pieces_against_the_library(library):
+    r = random.Random(8)
+    e = tokenfiles.encoder(tokenfiles.default_path())
+    letters = "abcXYZÄéñÇßøŁžĲŉǰΣσςİıЖйїʼ'´.,;:!?-0²½漢ªº<|>\x01\x1c\x85́ͅ"
+    texts = ["".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(6000)]
+    texts += [" ".join(texts[k : k + 7]) for k in range(0, 3000, 7)]
+    width = e.kind
+    for t, got in zip(texts, map(e.encode, texts), strict=True):
+        assert np.frombuffer(got, width).tolist() == library(t)[:-1], ascii(t)
