@@ -82,3 +82,43 @@ def test_a_dense_group_of_near_copies_and_one_row_many_times(spark):
     ids, texts = ids + [len(texts)] * 30, texts + ["one row that is here many times over and over"] * 30
     got = [x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA)).collect()]
     assert sorted(got) == sorted(want | {ids[-1]})
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_hot_shingle_of_sets_that_are_possible_but_not_alike(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard.links, "__defaults__", (block,))
+    r = random.Random(9)
+    base = [f"b{k}" for k in range(300)]
+    texts = []
+    for k in range(60):  # a long common run, and enough of its own that pairs stay below 0.8, some barely
+        own = r.choice([34, 36, 40, 120])
+        texts.append(" ".join(base[: 300 - own] + [f"o{k}x{j}" for j in range(own)]))
+    for k in range(0, 60, 9):  # and some that are alike, each to one of them
+        texts.append(texts[k] + f" tail{k} of{k} it{k}")
+    wanted, seen = brute_smallest(list(range(len(texts))), texts), []
+    blocked = jaccard._blocked
+
+    def watched(several, block, kind, every):
+        out = blocked(several, block, kind, every)
+        seen.append((kind.__name__, every, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_blocked", watched)
+    got = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == wanted and 1 < len(wanted) < len(texts)
+    assert seen[0][0] == "_Folded" and any(kind == "_Wide" for kind, *_ in seen)
+    assert all(n < 60 * 59 / 4 for _, _, n in seen)  # hardly more than what is alike or nearly so is ever a row
+
+
+def test_wide_bitmaps_of_neighbouring_sizes():
+    import pandas as pd
+
+    r = random.Random(6)
+    sets = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (90, 100, 120, 128, 129, 140, 250, 1000)]
+    sets.append(np.append(sets[4][5:], sets[0][:2]))
+    wide = jaccard._Wide(pd.DataFrame({"wide": [jaccard._bits(x) for x in sets]}))
+    for i, a in enumerate(sets):
+        got = wide.differing(i, np.arange(len(sets)))
+        for j, b in enumerate(sets):
+            assert got[j] == 1 << 40 or got[j] <= len(np.setxor1d(a, b))
+            assert got[j] < 1 << 40 or max(len(a), len(b)) > 1.25 * min(len(a), len(b))
