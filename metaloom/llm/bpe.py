@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long unsplit text.
 
-A text is cut into special tokens and pre-tokens as the tokenizer's file says.  Short pre-tokens are encoded by the
-tokenizers library and remembered.  A pre-token longer than a leaf is halved until the pieces are leaves, and
-neighbours are joined up the tree: a window of tokens around each join is encoded again and grows until it agrees with
-the tokens on both sides.  Two sides agree if the pair of tokens that meet there is what the encoding of their joined
+A text is cut into special tokens and pre-tokens as the tokenizer's file says.  A pre-token longer than a leaf is halved
+until the pieces are leaves, which the tokenizers library encodes, and neighbours are joined up the tree; outcomes of
+pre-tokens that are not long are remembered.  For a join, a window of tokens around it is encoded again and grows until
+it agrees with the tokens on both sides.  Two sides agree if the pair of tokens that meet there is what the encoding of their joined
 bytes gives; a sequence in which all neighbours agree is the encoding of the whole.
 
 Pre-tokens of more than ``SPREAD`` bytes are not left to the task of their text.  Their halves are rows of their own,
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from metaloom.llm.base import partitions, saved, small_batches
 
-#: Bytes of a pre-token that is encoded at once.
-LEAF = 256
+#: Bytes of a pre-token that is encoded at once; longer ones are joined up a tree.
+LEAF = 8
+#: Bytes of a pre-token that is remembered.
+LONGEST = 256
 #: Bytes of a pre-token that is dealt to several tasks, and of the pieces that it is dealt in.
 SPREAD = 1 << 16
 #: Pre-tokens that a worker remembers.
@@ -72,6 +74,8 @@ class Codec:
         self.pairs: dict[tuple[int, int], bool] = {}
         #: Encodings of a text's pre-tokens that other tasks have made, by their SHA-256.
         self.given: dict[bytes, list[int]] = {}
+        #: How many pre-tokens were joined from several leaves.
+        self.joined = 0
 
     def _leaf(self, data: bytes) -> list[int]:
         """BPE of bytes that no pre-tokenizer may cut."""
@@ -104,18 +108,19 @@ class Codec:
             n *= 2
         ends = [len(data) * k // n for k in range(n + 1)]
         level = [self._leaf(data[a:b]) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+        self.joined += len(level) > 1
         while len(level) > 1:
             level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0] if level else []
 
     def _word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
-        if len(data) > self.leaf:
+        if len(data) > LONGEST:
             ids = self.given.get(hashlib.sha256(data).digest()) if self.given else None
             return self.tree(data) if ids is None else ids
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        ids = self.known[word] = self._leaf(data)
+        ids = self.known[word] = self.tree(data)
         return ids
 
     def long_words(self, text: str, spread: int) -> list[bytes]:

@@ -103,3 +103,15 @@ def test_bpe_of_long_texts(spark, spread):
     for i, t in enumerate(texts):
         assert list(got[i]["ids"]) == tok.encode(t or "", add_special_tokens=False).ids
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_of_the_given_texts_comes_from_joins(spark):
+    from tokenizers import Tokenizer
+
+    tok, c = Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        text = r["text"] or ""
+        ids = c.encode(text)
+        assert ids == tok.encode(text, add_special_tokens=False).ids and c.decode(ids) == text
+    long = [w for w in c.known if len(w.encode()) > bpe.LEAF]
+    assert c.joined >= len(long) > 0.2 * len(c.known)
