@@ -169,13 +169,17 @@ def local_types(c: Callable_, returns: dict[str, str], params: dict[str, str]) -
     return out
 
 
+def returned(c: Callable_) -> list[str]:
+    """The expressions that a function returns."""
+    if c.kind != "function":
+        return []
+    return [m[1].strip() for m in re.finditer(rf"(?i)(?<!\w)(?:{'|'.join(RETURN)})\s+([^;]+);", c.body)]
+
+
 def return_type(c: Callable_, types: dict[str, tuple[str, float]]) -> str | None:
     """The kind that all returns of a function agree on; None without one."""
-    if c.kind != "function":
-        return None
     kinds = set()
-    for m in re.finditer(rf"(?i)(?<!\w)(?:{'|'.join(RETURN)})\s+([^;]+);", c.body):
-        value = m[1].strip()
+    for value in returned(c):
         word = value.split("(")[0].split()
         if word and word[0].lower() in NEW and len(word) > 1:
             kinds.add(word[1])
