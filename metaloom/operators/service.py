@@ -13,6 +13,7 @@ from metaloom.operators.paging import page_params
 from metaloom.operators.registry import query
 from metaloom.operators.search import EXACT, FUZZY, FUZZY_LENGTH, PREFIX, fetch_size, query_words
 from metaloom.plans import querylang as ql
+from metaloom.sources.metadata_xml import FOLDERS
 
 #: Words that begin statements which write (fixed values).
 WRITES = "insert update delete merge drop create alter truncate grant revoke set use cache load".split()
@@ -52,24 +53,39 @@ def field_page(objects: DataFrame, fields: str, limit: int, offset: int = 0) ->
     return objects.withColumn("total", F.size(fields)).withColumn(fields, page)
 
 
-#: Folders of modules and their kinds; files of modules and their roles (fixed values).
-OWNERS = {"CommonModules": "CommonModule", "Catalogs": "Catalog", "Documents": "Document", "InformationRegisters": "InformationRegister", "Reports": "Report", "DataProcessors": "DataProcessor"}
-ROLES = {"ObjectModule": "Object", "ManagerModule": "Manager", "RecordSetModule": "RecordSet", "CommandModule": "Command", "Module": "Module"}
+#: Modules of an object by their file, modules of the configuration, and kinds of objects that have one module, which has the
+#: object's id, by their folder (fixed values).
+MODULES = ["ObjectModule", "ManagerModule", "RecordSetModule", "ValueManagerModule"]
+CONFIGURATION = ["SessionModule", "ManagedApplicationModule", "OrdinaryApplicationModule", "ExternalConnectionModule"]
+ONE_MODULE = {"CommonModules": "Ext/Module", "CommonForms": "Ext/Form/Module", "CommonCommands": "Ext/CommandModule", "HTTPServices": "Ext/Module", "WebServices": "Ext/Module"}
+
+
+def _lookup(key: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
 
 
 def module_of(path: Column) -> Column:
-    """struct(id, parent, role) of a source file by its path: Folder/Name/Ext/File, forms and commands below; null for others."""
-    path = F.regexp_replace(path, r"^tests-extension/", "")
-    p = F.split(path, "/")
-    part = lambda k: F.coalesce(F.get(p, F.lit(k)), F.lit(""))
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in OWNERS.items() for x in kv]), part(0))
-    file = F.regexp_extract(path, r"([^/]+)\.bsl$", 1)
-    role = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), file)
-    owner = F.concat_ws(".", kind, part(1))
-    below = F.when(part(2) == "Forms", F.concat(owner, F.lit(".Form."), part(3))).when(part(2) == "Commands", F.concat(owner, F.lit(".Command."), part(3)))
-    name = F.coalesce(below, F.when((kind == "CommonModule") | (role == "Module"), owner).otherwise(F.concat_ws(".", owner, role)))
-    role = F.when(part(2) == "Forms", "Form").when(part(2) == "Commands", "Command").otherwise(role)
-    return F.when(kind.isNotNull() & role.isNotNull() & (file != ""), F.struct(name.alias("id"), owner.alias("parent"), role.alias("role")))
+    """struct(id, kind, parent, role) of a source file by its path; null for others.
+
+    Folder/Name/Ext/Module, forms and commands of an object, objects that are one module, and modules of the configuration
+    itself, which an extension's prefix excludes.
+    """
+    bare = F.regexp_replace(path, r"^tests-extension/", "")
+    top, name, rest = (F.regexp_extract(bare, r"^([^/]+)/([^/]+)/(.+)\.bsl$", k) for k in (1, 2, 3))
+    kind, only = _lookup(top, FOLDERS), _lookup(top, ONE_MODULE)
+    owner = F.concat_ws(".", kind, name)
+    of = lambda id_, kind_, parent, role: F.struct(id_.alias("id"), kind_.alias("kind"), parent.alias("parent"), role.alias("role"))
+    none, role = F.lit(None).cast("string"), F.regexp_extract(rest, "^Ext/([^/]+)$", 1)
+    form, command = F.regexp_extract(rest, "^Forms/([^/]+)/Ext/Form/Module$", 1), F.regexp_extract(rest, "^Commands/([^/]+)/Ext/CommandModule$", 1)
+    own = F.regexp_extract(path, r"^Ext/([^/]+)\.bsl$", 1)
+    return (
+        F.when(own.isin(CONFIGURATION), of(F.concat(F.lit("Configuration."), own), F.lit("ConfigurationModule"), none, own))
+        .when(only.isNotNull(), F.when(rest == only, of(owner, kind, none, kind)))
+        .when(kind.isNull(), None)
+        .when(role.isin(MODULES), of(F.concat_ws(".", owner, role), role, owner, role))
+        .when(form != "", of(F.concat(owner, F.lit(".Form."), form), F.lit("Form"), owner, F.lit("Form")))
+        .when(command != "", of(F.concat(owner, F.lit(".Command."), command), F.lit("Command"), owner, F.lit("Command")))
+    )
 
 
 def schedule(text: str) -> tuple[str, int | None, int, int]:
@@ -142,14 +158,35 @@ def _(d):
     return field_page(fields, "names", 2, 1).select("parent", "total", F.array_join("names", ",").alias("names"))
 
 
-@query("S10", """SELECT doc_id, CASE lang WHEN 'en' THEN 'CommonModule.M' || doc_id WHEN 'de' THEN 'Catalog.M' || doc_id || '.Manager' WHEN 'fr' THEN 'Document.M' || doc_id || '.Form.F' END AS id,
-CASE lang WHEN 'en' THEN 'Module' WHEN 'de' THEN 'Manager' WHEN 'fr' THEN 'Form' END AS role FROM documents""")
+#: Paths of all folders and shapes, dealt to documents, and what they are.
+_FOLDER = sorted(FOLDERS) + ["Odd"]
+_SHAPES = ["Ext/ObjectModule.bsl", "Ext/ManagerModule.bsl", "Ext/RecordSetModule.bsl", "Ext/ValueManagerModule.bsl", "Forms/F/Ext/Form/Module.bsl", "Commands/C/Ext/CommandModule.bsl", "Ext/Module.bsl", "Ext/Form/Module.bsl", "Ext/CommandModule.bsl", "Ext/Form.xml"]
+_LONE = [f"Ext/{x}.bsl" for x in CONFIGURATION] + ["tests-extension/Ext/SessionModule.bsl", "Ext/Module.bsl", "Catalogs/X.bsl"]
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query("S10", f"""WITH p AS (SELECT doc_id, {_list(_FOLDER)}[doc_id % {len(_FOLDER)} + 1] AS folder, {_list([FOLDERS.get(x, "") for x in _FOLDER])}[doc_id % {len(_FOLDER)} + 1] AS kind,
+  {_list(_SHAPES)}[(doc_id // {len(_FOLDER)}) % {len(_SHAPES)} + 1] AS shape, doc_id % 11 = 5 AS lone, {_list(_LONE)}[doc_id % {len(_LONE)} + 1] AS lone_path FROM documents),
+m AS (SELECT doc_id, CASE
+  WHEN lone THEN CASE WHEN lone_path IN ('Ext/SessionModule.bsl', 'Ext/ManagedApplicationModule.bsl', 'Ext/OrdinaryApplicationModule.bsl', 'Ext/ExternalConnectionModule.bsl')
+    THEN ['Configuration.' || split_part(split_part(lone_path, '/', 2), '.', 1), 'ConfigurationModule', NULL, split_part(split_part(lone_path, '/', 2), '.', 1)] END
+  WHEN folder IN ('CommonModules', 'HTTPServices', 'WebServices') THEN CASE WHEN shape = 'Ext/Module.bsl' THEN [kind || '.M' || doc_id, kind, NULL, kind] END
+  WHEN folder = 'CommonForms' THEN CASE WHEN shape = 'Ext/Form/Module.bsl' THEN [kind || '.M' || doc_id, kind, NULL, kind] END
+  WHEN folder = 'CommonCommands' THEN CASE WHEN shape = 'Ext/CommandModule.bsl' THEN [kind || '.M' || doc_id, kind, NULL, kind] END
+  WHEN folder = 'Odd' THEN NULL
+  WHEN shape LIKE 'Forms/%' THEN [kind || '.M' || doc_id || '.Form.F', 'Form', kind || '.M' || doc_id, 'Form']
+  WHEN shape LIKE 'Commands/%' THEN [kind || '.M' || doc_id || '.Command.C', 'Command', kind || '.M' || doc_id, 'Command']
+  WHEN shape LIKE 'Ext/%Module.bsl' AND shape NOT IN ('Ext/Module.bsl', 'Ext/Form/Module.bsl', 'Ext/CommandModule.bsl')
+    THEN [kind || '.M' || doc_id || '.' || replace(shape[5:], '.bsl', ''), replace(shape[5:], '.bsl', ''), kind || '.M' || doc_id, replace(shape[5:], '.bsl', '')] END AS m FROM p)
+SELECT doc_id, m[1] AS id, m[2] AS kind, m[3] AS parent, m[4] AS role FROM m""")
 def _(d):
-    n = F.concat(F.lit("M"), F.col("doc_id").cast("string"))
-    lang = F.col("lang")
-    path = F.when(lang == "en", F.concat(F.lit("CommonModules/"), n, F.lit("/Ext/Module.bsl"))).when(lang == "de", F.concat(F.lit("tests-extension/Catalogs/"), n, F.lit("/Ext/ManagerModule.bsl"))).when(lang == "fr", F.concat(F.lit("Documents/"), n, F.lit("/Forms/F/Ext/Form/Module.bsl"))).otherwise(F.concat(F.lit("Odd/"), n, F.lit("/x.txt")))
-    m = module_of(path)
-    return d.documents.select("doc_id", m["id"].alias("id"), m["role"].alias("role"))
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    n = F.col("doc_id")
+    path = F.concat(F.when(n % 2 == 1, "tests-extension/").otherwise(""), pick(_FOLDER, n), F.lit("/M"), n.cast("string"), F.lit("/"), pick(_SHAPES, F.floor(n / len(_FOLDER))))
+    return d.documents.select("doc_id", module_of(F.when(n % 11 == 5, pick(_LONE, n)).otherwise(path)).alias("m")).select("doc_id", "m.*")
 
 
 @query("X14", "SELECT * FROM (VALUES ('daily 03:00', 'daily', CAST(NULL AS INT), 3, 0), ('weekly mon 23:15', 'weekly', 2, 23, 15)) AS t(said, kind, weekday, hour, minute)")
