@@ -17,9 +17,9 @@ RAW = frozenset("script style template".split())
 _LISTS = frozenset(("ul", "ol", "menu", "dir"))
 _TABLE = frozenset(("table",))
 _ROW = frozenset(("tr", "table"))
-CLOSES = {"li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))), "tr": (frozenset(("tr",)), _TABLE), "td": (frozenset(("td", "th")), _ROW), "th": (frozenset(("td", "th")), _ROW), "option": (frozenset(("option",)), frozenset(("select", "datalist")))}
-_P = frozenset(("p",))
-_SCOPE = frozenset("button td th caption table object html".split())
+CLOSES = {"p": (frozenset(("p",)), frozenset("button td th caption table object html".split())), "li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))), "tr": (frozenset(("tr",)), _TABLE), "td": (frozenset(("td", "th")), _ROW), "th": (frozenset(("td", "th")), _ROW), "option": (frozenset(("option",)), frozenset(("select", "datalist")))}
+#: The elements that change what a start tag would close.
+_CHANGES = {t: tuple((r, t in kinds) for r, (kinds, scope) in CLOSES.items() if t in kinds or t in scope) for rule in CLOSES.values() for t in rule[0] | rule[1]}
 _TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", regex.S)
 _ATTR = regex.compile(r"""(?<=[\s"'])(?:(class|id|role)\s*=\s*|(data-content)(?:\s*=\s*|(?=[\s/]|$)))(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))""", regex.I)
 
@@ -47,13 +47,21 @@ def attributes(raw: str) -> tuple[str, bool | None]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order; character references are decoded and white space is one space."""
+    """The blocks of a page in order; character references are decoded and white space is one space.
+
+    Time is linear in the page, whatever its depth: with each open element stands the innermost block-level element, and
+    for each kind of start tag the open element that it would close; open elements are also listed by tag.
+    """
     page = page or ""
     out: list[Block] = []
     root = (None, "", "", None)
     stack = [root]
+    inner = [0]  # where the innermost block-level element stands, for each open element
+    closable = [dict.fromkeys(CLOSES, 0)]  # where the element stands that a start tag closes, 0 for none
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    links = linked = at = 0
+    linked = at = 0
+    holder = root  # the innermost block-level element, which the text so far stands in
 
     def end():
         nonlocal linked
@@ -64,33 +72,21 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    holder = root  # the innermost block-level element, which the text so far stands in
-
-    def innermost():
-        for x in reversed(stack):
-            if x[1] in BLOCK:
-                return x
-        return root
-
     def add(piece: str):
         nonlocal linked, holder
         if piece:
             if not parts:
-                holder = innermost()
+                holder = stack[inner[-1]]
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
-            if links:
+            if places.get("a"):
                 linked += len(piece)
 
-    def close(kinds: frozenset, scope: frozenset):
-        nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][1] in kinds:
-                links -= sum(x[1] == "a" for x in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][1] in scope:
-                return
+    def cut(k: int):
+        while len(stack) > k:
+            places[stack.pop()[1]].pop()
+            inner.pop()
+            closable.pop()
 
     while m := _TOKEN.search(page, at):  # after a raw element, from its end: its content is no markup
         add(page[at : m.start()])
@@ -103,13 +99,9 @@ def blocks(page: str | None) -> list[Block]:
         if is_block:
             end()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    links -= sum(x[1] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if not is_block and stack[k][1] in BLOCK:
-                    break  # an inline end tag closes nothing outside its block
+            open_ = places.get(tag)
+            if open_ and (is_block or open_[-1] > inner[-1]):  # an inline end tag closes nothing outside its block
+                cut(open_[-1])
             continue
         if tag in VOID:
             if tag == "br" and parts:
@@ -120,13 +112,15 @@ def blocks(page: str | None) -> list[Block]:
                 found = regex.compile(rf"</{tag}\b[^>]*(?:>|$)", regex.I).search(page, at)
                 at = found.end() if found else len(page)
             continue
-        if is_block:
-            close(_P, _SCOPE)
-            if tag in CLOSES:
-                close(*CLOSES[tag])
+        for rule in ("p", tag) if is_block and tag != "p" else (tag,):
+            if is_block and closable[-1].get(rule):
+                cut(closable[-1][rule])
         names, marked = attributes(raw)
+        k = len(stack)
         stack.append((stack[-1], tag, names, marked))
-        links += tag == "a"
+        inner.append(k if is_block else inner[-1])
+        closable.append(closable[-1] | {r: k if kind else 0 for r, kind in _CHANGES[tag]} if tag in _CHANGES else closable[-1])
+        places.setdefault(tag, []).append(k)
     add(page[at:])
     end()
     return out

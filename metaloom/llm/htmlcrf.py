@@ -44,8 +44,9 @@ def names_of(raw: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def chain_features(chain: tuple, known: dict) -> frozenset[str]:
-    """The features of a block's ancestors; shared between the blocks of an element."""
+def chain_features(chain: tuple, known: dict, among: dict | None = None) -> frozenset[str]:
+    """The features of a block's ancestors; shared between the blocks of an element.  Of a trained field only those that
+    it has, so that a set is no larger than the field, however deep the element stands."""
     todo = []
     while chain[0] is not None and id(chain) not in known:
         todo.append(chain)
@@ -55,6 +56,8 @@ def chain_features(chain: tuple, known: dict) -> frozenset[str]:
         own = {f"t:{x[1]}"}
         if x[1] not in ("html", "body"):
             own.update(names_of(x[2]))
+        if among is not None:
+            own &= among.keys()
         got = got if own <= got else got | own
         known[id(x)] = (x, got)
     return got
@@ -63,7 +66,7 @@ def chain_features(chain: tuple, known: dict) -> frozenset[str]:
 def text_features(b: Block) -> list[str]:
     words = b.text.split(" ")
     n, share = len(words), b.linked / max(1, len(b.text))
-    out = ["bias", f"len:{sum(n > x for x in (2, 7, 19, 49))}", f"link:{sum(share > x for x in (0, 0.3, 0.7))}", f"leaf:{b.chain[1]}"]
+    out = ["bias", f"len:{sum(n > x for x in (2, 7, 19, 49))}", f"link:{sum(share > x for x in (0, 0.3, 0.7))}", f"leaf:{b.chain[1] or 'body'}"]
     out.append("stop" if b.text[-1] in _END else "nostop")
     if n <= 40:
         low = b.text.lower()
@@ -82,7 +85,7 @@ class Field:
         sums: dict[frozenset, float] = {}
         get, out = self.weights.get, []
         for b in found:
-            f = chain_features(b.chain, known)
+            f = chain_features(b.chain, known, self.weights)
             if f not in sums:
                 sums[f] = sum(get(x, 0.0) for x in sorted(f))
             out.append(sums[f] + sum(get(x, 0.0) for x in text_features(b)))
@@ -293,11 +296,27 @@ class _Maker:
         body = r.choice(["", ' class="home page"', ' class="has-sidebar single-post"'])
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body{body}>{''.join(top)}{main}{''.join(low)}</body></html>"
 
+    def short_page(self) -> str:
+        """A few words in an article, in a plain block, or in the body itself, often with nothing around them."""
+        r = self.r
+        texts = [r.choice([self.words(1, 3), self.words(2, 5).capitalize(), self.sentence(1, 4), self.text(1, 2)]) for _ in range(r.choice([1, 1, 1, 1, 2, 3]))]
+        form, mark = r.random(), ""
+        if form < 0.4:
+            inner = "".join(f"<p>{t}</p>" for t in texts)
+            main = self.box("article content post entry story main", "article main main div", inner, " data-content")
+        elif form < 0.8:
+            main = "".join(f"<{t} data-content>{x}</{t}>" for x in texts for t in [r.choice(["p", "p", "p", "div", "h1"])])
+        else:
+            main, mark = texts[0], " data-content"
+        around = r.choice([(), (), ("nav",), ("footer",), ("header", "footer"), ("nav", "footer"), ("notice",), ("script",)])
+        top, low = ("".join(self.set_off(k) for k in around if (k == "footer") is last) for last in (False, True))
+        return f"<html><body{mark}>{top}{main}{low}</body></html>"
+
 
 def labelled_pages(n: int = 400, seed: int = 9) -> list[str]:
-    """Pages with data-content on their content."""
-    maker = _Maker(seed)
-    return [maker.page() for _ in range(n)]
+    """Pages with data-content on their content; one in five is short."""
+    maker, brief = _Maker(seed), _Maker(seed + 1)
+    return [brief.short_page() if k % 5 == 4 else maker.page() for k in range(n * 5 // 4)]
 
 
 @functools.lru_cache(maxsize=1)

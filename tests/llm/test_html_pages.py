@@ -1,6 +1,7 @@
 """Main-text extraction on pages written and labelled by hand, in layouts that the training grammar does not make."""
 
 import itertools
+import time
 
 import pytest
 
@@ -69,3 +70,25 @@ def test_viterbi_against_all_labellings():
 
         best = max(itertools.product((0, 1), repeat=len(blocks)), key=total)
         assert total([int(x) for x in field.decode(blocks)]) == pytest.approx(total(best))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>x y</p></article>", "x y"),
+        ("<p>One plain paragraph, nothing else here.</p>", "One plain paragraph, nothing else here."),
+        ("<html><body><p>Short.</p></body></html>", "Short."),
+        ('<html><body><nav><a href="/">Home</a></nav><p>Rain fell today.</p></body></html>', "Rain fell today."),
+        ('<nav><a href="/">Home</a></nav>', ""),
+    ],
+)
+def test_short_pages_keep_their_text(page, want):
+    assert htmlcrf.default_field().extract(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "x", "<p><table>" * 100_000 + "z", "<section>" * 100_000 + "</nav>" * 100_000 + "x", "<b>" * 50_000 + "<div>x</div>y" * 50_000, "".join(f"<div class='k{i}'>t" for i in range(50_000))])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    found = dom.blocks(page)
+    htmlcrf.default_field().decode(found)
+    assert found and time.process_time() - began < 30
