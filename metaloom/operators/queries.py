@@ -2,64 +2,53 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaloom.functions.tables import partitions, yielded
 from metaloom.operators.registry import query
 from metaloom.plans import querylang as ql
 
 
+def _mapped(texts: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Rows that a function of each text yields; ids and texts are small beside the work, so they are dealt out by number."""
+    return yielded(texts.select("id", "text").repartition(partitions(texts), "id"), rows_of, schema)
+
+
 def checked(texts: DataFrame, catalog: ql.Catalog) -> DataFrame:
     """(id, valid, n_errors, n_warnings, tables, fields, statements) of texts (id, text)."""
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, t in zip(pdf["id"], pdf["text"], strict=True):
-                r = ql.check(t, catalog)
-                out.append((i, r["valid"], len(r["errors"]), len(r["warnings"]), r["tables_checked"], r["fields_checked"], r["statements"]))
-            yield pd.DataFrame(out, columns=["id", "valid", "n_errors", "n_warnings", "tables", "fields", "statements"])
+    def rows(text):
+        r = ql.check(text, catalog)
+        yield r["valid"], len(r["errors"]), len(r["warnings"]), r["tables_checked"], r["fields_checked"], r["statements"]
 
-    return texts.mapInPandas(run, "id long, valid boolean, n_errors long, n_warnings long, tables long, fields long, statements long")
+    return _mapped(texts, rows, "id long, valid boolean, n_errors long, n_warnings long, tables long, fields long, statements long")
 
 
 def advised(texts: DataFrame) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(i, *r) for i, t in zip(pdf["id"], pdf["text"], strict=True) for r in ql.advise(t)], columns=["id", "priority", "rule"])
-
-    return texts.mapInPandas(run, "id long, priority string, rule string")
+    return _mapped(texts, ql.advise, "id long, priority string, rule string")
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(i, t.kind, t.text, t.line) for i, x in zip(pdf["id"], pdf["text"], strict=True) for t in ql.tokenize(x)], columns=["id", "kind", "token", "line"])
-
-    return texts.mapInPandas(run, "id long, kind string, token string, line int")
+    return _mapped(texts, lambda text: ((t.kind, t.text, t.line) for t in ql.tokenize(text)), "id long, kind string, token string, line int")
 
 
 def sources(texts: DataFrame) -> DataFrame:
     """(id, source, alias, joined) of all sources of all parts."""
 
-    def run(batches):
-        for pdf in batches:
-            out = [(i, s.text, s.alias, s.join) for i, x in zip(pdf["id"], pdf["text"], strict=True) for st in ql.parse(x).statements for p in st.parts for s in p.sources]
-            yield pd.DataFrame(out, columns=["id", "source", "alias", "joined"])
+    def rows(text):
+        return ((s.text, s.alias, s.join) for st in ql.parse(text).statements for p in st.parts for s in p.sources)
 
-    return texts.mapInPandas(run, "id long, source string, alias string, joined string")
+    return _mapped(texts, rows, "id long, source string, alias string, joined string")
 
 
 def temp_columns(texts: DataFrame) -> DataFrame:
     """(id, name, columns) of the temporary tables that a text makes; null columns can't be told."""
 
-    def run(batches):
-        for pdf in batches:
-            out = [(i, st.into, None if (c := st.columns()) is None else ",".join(c)) for i, x in zip(pdf["id"], pdf["text"], strict=True) for st in ql.parse(x).statements if st.into]
-            yield pd.DataFrame(out, columns=["id", "name", "columns"])
+    def rows(text):
+        return ((st.into, None if (c := st.columns()) is None else ",".join(c)) for st in ql.parse(text).statements if st.into)
 
-    return texts.mapInPandas(run, "id long, name string, columns string")
+    return _mapped(texts, rows, "id long, name string, columns string")
 
 
 def catalog_of(attributes: DataFrame) -> ql.Catalog:
