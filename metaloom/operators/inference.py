@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.functions import code
-from metaloom.functions.tables import materialized
-from metaloom.operators.code import _mapped, call_sites, callables
+from metaloom.functions.tables import materialized, partitions
+from metaloom.operators.code import _mapped
 from metaloom.operators.incremental import AMBIGUOUS
 from metaloom.operators.registry import query
 
@@ -31,6 +31,8 @@ from metaloom.operators.registry import query
 CONSTRUCTED, MANAGED, LITERAL, COPIED, PASSED = 95, 90, 90, 5, 10
 #: Tables of changed facts that are merged into one when so many have gathered.
 GATHERED = 8
+#: Most rows of a table that is sent to all tasks.
+FEW = 50_000
 IDENTIFIER = r"^[\p{L}_][\p{L}\p{N}_]*$"
 
 
@@ -39,16 +41,29 @@ def node(module: Column, callable_: Column, role: str, name: Column | None = Non
     return F.lower(F.concat_ws("|", module, callable_, F.lit(role), F.lit("") if name is None else name))
 
 
-def _assigned(modules: DataFrame) -> DataFrame:
-    """(module, callable, seq, event, variable, value) of assignments and returned expressions, in order."""
+def _parsed(modules: DataFrame) -> DataFrame:
+    """(module, callable, what, seq, event, variable, value, args) of one pass over modules.
+
+    what is "callable", with its parameters as args; "told", an assignment or a returned expression, in order; or "site", a
+    call of method ``value`` of module ``variable``, its own if that is empty.
+    """
 
     def rows(text):
         for c in code.parse_module(text)[0]:
+            yield c.name, "callable", 0, "", "", "", [p.name for p in c.params]
             told = [e for e in code.events(c) if e[0] != "access"] + [("return", "", x) for x in code.returned(c)]
             for seq, e in enumerate(told):
-                yield c.name, seq, *e
+                yield c.name, "told", seq, *e, None
+            for module, method, _, _, args in code.calls(c):
+                yield c.name, "site", 0, "", module, method, args
+
+    return _mapped(modules, rows, "module string, callable string, what string, seq int, event string, variable string, value string, args array<string>")
+
 
-    return _mapped(modules, rows, "module string, callable string, seq int, event string, variable string, value string")
+def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join, sent to all tasks if its rows are few.  Files of names are small and many times as large in
+    memory, so Spark, which goes by files, would gather at the driver what has no room there; rows are counted instead."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= FEW else df.hint("merge")
 
 
 def flows(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,9 +72,9 @@ def flows(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     The last assignment to a variable counts; a parameter that is never assigned is a variable with its own type.  A call
     without a module resolves to its own module, one with a module to that one; calls of unknown callables pass nothing.
     """
-    known = callables(modules).select("module", "name", F.filter(F.split("params", ", "), lambda p: p != "").alias("params"))
-    known = materialized(known, "callables")
-    told = materialized(_assigned(modules), "assigned")
+    parsed = materialized(_parsed(modules), "parsed")
+    known = parsed.filter("what = 'callable'").select("module", F.col("callable").alias("name"), F.col("args").alias("params"))
+    told = parsed.filter("what = 'told'").select("module", "callable", "seq", "event", "variable", "value")
     last = told.filter("event <> 'return'").groupBy("module", "callable", F.lower("variable").alias("variable")).agg(F.max_by(F.struct("event", "value"), "seq").alias("x"))
     last = last.select("module", "callable", "variable", "x.*")
     given = last.unionByName(told.filter("event = 'return'").select("module", "callable", F.lit("").alias("variable"), F.lit("return").alias("event"), "value"))
@@ -71,16 +86,16 @@ def flows(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = given.select(F.col("module").alias("owner"), "node", F.when(F.col("event") == "manager", F.col("value")).otherwise(built).alias("kind"), F.when(F.col("event") == "manager", MANAGED).otherwise(CONSTRUCTED).alias("sure"))
     copied = given.filter(F.col("event").isin("copy", "return") & F.col("value").rlike(IDENTIFIER))
     edges = copied.select(F.col("module").alias("owner"), here("var", F.col("value")).alias("src"), F.col("node").alias("dst"), F.lit(COPIED).alias("loss"))
-    callee = known.select(F.lower("module").alias("to"), F.lower("name").alias("name"), F.col("module").alias("to_module"), F.col("name").alias("to_name"), "params")
+    callee = _side(known).select(F.lower("module").alias("to"), F.lower("name").alias("name"), F.col("module").alias("to_module"), F.col("name").alias("to_name"), "params")
     said = F.when(F.col("event") == "call", F.col("value")).otherwise(F.regexp_extract("value", r"^([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)?)\s*\(", 1))
     called = given.filter("event IN ('call', 'return')").withColumn("said", F.lower(said)).filter("said <> ''")
     called = called.withColumn("to", F.when(F.col("said").contains("."), F.split_part("said", F.lit("."), F.lit(1))).otherwise(F.lower("module"))).withColumn("name", F.split_part("said", F.lit("."), F.lit(-1)))
     called = called.join(callee, ["to", "name"])
     edges = edges.unionByName(called.select(F.col("module").alias("owner"), node(F.col("to_module"), F.col("to_name"), "return").alias("src"), F.col("node").alias("dst"), F.lit(COPIED).alias("loss")))
-    own = known.select("module", F.col("name").alias("callable"), F.explode("params").alias("param")).withColumn("variable", F.lower("param")).join(last.select("module", "callable", "variable"), ["module", "callable", "variable"], "left_anti")
+    own = known.select("module", F.col("name").alias("callable"), F.explode("params").alias("param")).withColumn("variable", F.lower("param")).join(last.select("module", "callable", "variable").hint("merge"), ["module", "callable", "variable"], "left_anti")
     edges = edges.unionByName(own.select(F.col("module").alias("owner"), here("param", F.col("variable")).alias("src"), here("var", F.col("variable")).alias("dst"), F.lit(0).alias("loss")))
-    sites = call_sites(modules).select("module", F.col("caller").alias("callable"), F.lower(F.when(F.col("module_ref") == "", F.col("module")).otherwise(F.col("module_ref"))).alias("to"), F.lower("method").alias("name"), F.posexplode("args").alias("position", "arg"))
-    sites = materialized(sites, "arguments").join(callee, ["to", "name"]).filter(F.col("position") < F.size("params"))
+    sites = parsed.filter("what = 'site'").select("module", "callable", F.lower(F.when(F.col("variable") == "", F.col("module")).otherwise(F.col("variable"))).alias("to"), F.lower("value").alias("name"), F.posexplode("args").alias("position", "arg"))
+    sites = sites.join(callee, ["to", "name"]).filter(F.col("position") < F.size("params"))
     sites = sites.withColumn("node", node(F.col("to_module"), F.col("to_name"), "param", F.get("params", F.col("position")))).withColumn("arg", F.trim("arg"))
     literal = F.when(F.col("arg").rlike(r"^\d+(\.\d+)?$"), "Number").when(F.col("arg").startswith('"'), "String").when(F.col("arg").startswith("'"), "Date").when(F.lower("arg").isin("истина", "ложь", "true", "false"), "Boolean")
     seeds = seeds.unionByName(sites.select(F.col("module").alias("owner"), "node", literal.alias("kind"), F.lit(LITERAL).alias("sure")))
@@ -96,9 +111,9 @@ def joined(facts: DataFrame, *more: Column) -> DataFrame:
     return by.select("node", kind.alias("kind"), F.when(kind != AMBIGUOUS, F.col("c")).alias("sure"), *by.columns[4:])
 
 
-def _passed(edges: DataFrame, facts: DataFrame) -> DataFrame:
+def _passed(edges: DataFrame, facts: DataFrame, rows: int | None = None) -> DataFrame:
     """What flows pass on of facts."""
-    return edges.select("src", "dst", "loss").join(facts.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "kind", F.greatest(F.col("sure") - F.col("loss"), F.lit(0)).alias("sure"))
+    return edges.select("src", "dst", "loss").join(_side(facts.withColumnRenamed("node", "src"), rows), "src").select(F.col("dst").alias("node"), "kind", F.greatest(F.col("sure") - F.col("loss"), F.lit(0)).alias("sure"))
 
 
 def _latest(changes: list[DataFrame], among: DataFrame | None = None) -> DataFrame:
@@ -120,12 +135,13 @@ def _closed(known: DataFrame | None, more: DataFrame, edges: DataFrame) -> DataF
             more = joined(both, F.max("old").alias("old"))
             more = more.filter(~F.struct("kind", "sure").eqNullSafe(F.col("old"))).drop("old")
         more = materialized(more, "changed")
-        if more.isEmpty():
+        n = more.count()
+        if not n:
             return materialized(_latest(changes or [more]), "facts")
         changes.append(more)
         if len(changes) > GATHERED:
             changes = [materialized(_latest(changes), "facts")]
-        more = _passed(edges, more)
+        more = _passed(edges, more, n)
 
 
 def inferred_types(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,20 +156,26 @@ def maintained(facts: DataFrame, seeds: DataFrame, edges: DataFrame, changed: Da
     is left of the seeds and flows, and the new ones, give those nodes their facts again.  ``touched`` has the nodes that
     were taken back; no other fact is read but where a flow leads from it to one of them.
     """
+    changed = _side(changed)
     gone_seeds, gone_edges = seeds.join(changed, "owner", "left_semi"), edges.join(changed, "owner", "left_semi")
-    start = gone_seeds.select("node").union(gone_edges.join(facts.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))).distinct()
+    start = gone_seeds.select("node").union(gone_edges.join(_side(facts.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))).distinct()
     front = materialized(start, "taken-back")
-    touched = [front]
-    while not front.isEmpty():
-        beyond = edges.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = materialized(beyond.join(reduce(DataFrame.union, touched), "node", "left_anti"), "taken-back")
+    touched, n, total = [front], front.count(), 0
+    while n:
+        total += n
+        beyond = edges.join(_side(front.withColumnRenamed("node", "src"), n), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = materialized(beyond.join(_side(reduce(DataFrame.union, touched), total), "node", "left_anti"), "taken-back")
+        n = front.count()
         touched.append(front)
+        if len(touched) > GATHERED:
+            touched = [materialized(reduce(DataFrame.union, touched), "taken-back")]
     taken = materialized(reduce(DataFrame.union, touched), "taken-back")
+    total = taken.count()
     seeds = materialized(seeds.join(changed, "owner", "left_anti").unionByName(new_seeds), "seeds")
     edges = materialized(edges.join(changed, "owner", "left_anti").unionByName(new_edges), "flows")
-    base = materialized(facts.join(taken, "node", "left_anti"), "facts")
-    into = edges.join(taken.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "loss").unionByName(new_edges.select("src", "dst", "loss"))
-    again = seeds.join(taken, "node", "left_semi").unionByName(new_seeds).select("node", "kind", "sure")
+    base = materialized(facts.join(_side(taken, total), "node", "left_anti"), "facts")
+    into = edges.join(_side(taken.withColumnRenamed("node", "dst"), total), "dst", "left_semi").select("src", "dst", "loss").unionByName(new_edges.select("src", "dst", "loss"))
+    again = seeds.join(_side(taken, total), "node", "left_semi").unionByName(new_seeds).select("node", "kind", "sure")
     return _closed(base, again.unionByName(_passed(into, base)), edges), seeds, edges, taken
 
 
@@ -165,7 +187,7 @@ def typed_modules(callsites: DataFrame) -> DataFrame:
     m = F.col("line") % 12
     line = F.when(m == 0, of("  Р", i, " = ", to, "(А, Б); Возврат Р", i, ";")).when(m == 1, of("  ", to, "(А, Б);")).when(m == 3, of("  Возврат А;"))
     line = line.when(m == 4, of("  К", i, " = Новый ", what, "; ", to, "(К", i, ", А);")).when(m == 5, of("  ", to, "(Б, 17);")).otherwise(of("  // ", to, "(К, 5);"))
-    lines = sites.groupBy("module_id", "caller").agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
+    lines = sites.repartition(partitions(sites), "module_id").groupBy("module_id", "caller").agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
     text = of("Функция ", F.split_part("caller", F.lit("."), F.lit(2)), "(А, Б) Экспорт\n", F.array_join(F.col("x.line"), "\n"), "\nКонецФункции\n")
     return lines.groupBy(F.col("module_id").alias("module")).agg(F.array_join(F.sort_array(F.collect_list(text)), "\n").alias("text"))
 
@@ -205,4 +227,5 @@ def _(d):
     differs = lambda a, b: a.exceptAll(b).unionByName(b.exceptAll(a)).select("owner")
     changed = materialized(differs(seeds, new_seeds).union(differs(edges, new_edges)).distinct(), "changed-modules")
     facts = inferred_types(seeds, edges)
-    return maintained(facts, seeds, edges, changed, new_seeds.join(changed, "owner", "left_semi"), new_edges.join(changed, "owner", "left_semi"))[0]
+    few = _side(changed)
+    return maintained(facts, seeds, edges, changed, new_seeds.join(few, "owner", "left_semi"), new_edges.join(few, "owner", "left_semi"))[0]

@@ -127,3 +127,28 @@ def test_types_of_parameters_and_returned_values_feed_each_other(modules):
 
 def test_no_modules(spark, modules):
     assert inference.inferred_types(*inference.flows(modules.limit(0))).count() == 0
+
+
+def test_no_large_table_of_the_fix_point_is_gathered_at_the_driver(spark, monkeypatch):
+    """Joins of tables of more than FEW rows are by sorted shuffles, whatever the sizes of files say."""
+    from metaloom.operators import inference
+    from metaloom.plans.catalogue import QUERIES
+
+    plans, write = [], inference.materialized
+
+    def watched(df, name):
+        if name != "changed":  # its other join is decided by Spark on measured sizes
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(inference, "materialized", watched)
+    monkeypatch.setattr(inference, "FEW", -1)
+    modules = spark.createDataFrame([(f"M{k}", f"Функция Ф(А) Экспорт\n  Р = M{k + 1}.Ф(А); M{k + 2}.Ф(5);\n  Возврат Р;\nКонецФункции\n") for k in range(6)], "module string, text string")
+    seeds, edges = inference.flows(modules)
+    facts = inference.inferred_types(seeds, edges)
+    changed = spark.createDataFrame([("M3",)], "owner string")
+    again = inference.maintained(facts, seeds, edges, changed, seeds.join(changed, "owner", "left_semi"), edges.join(changed, "owner", "left_semi"))[0]
+    assert sorted(again.collect()) == sorted(facts.collect())
+    plans.append(inference._passed(edges, facts, 0)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+    assert "BroadcastExchange" in inference._passed(edges, facts, -1)._jdf.queryExecution().executedPlan().toString()
