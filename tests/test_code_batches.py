@@ -75,3 +75,11 @@ def test_tokens_keep_lines_over_strings_and_comments():
     began = time.process_time()
     queries.ql.tokenize("a" + " \n" * 500_000)
     assert time.process_time() - began < 5
+
+
+def test_files_are_dealt_out(spark):
+    from metaloom.sources.metadata_xml import parsed
+
+    files = spark.range(40).selectExpr("concat('Catalogs/P', id, '.xml') AS path", "'<a/>' AS data").coalesce(1)
+    assert parsed(files).rdd.getNumPartitions() == 4
+    assert parsed(files).filter("dropped = 'no object'").count() == 40
