@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,11 @@ SPREAD = 1 << 16
 REMEMBERED = 1 << 18
 #: The pre-tokens of the byte-level files (fixed value, published with that vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the pattern says for ASCII texts without the controls that count as white space in some libraries only.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: Ids that are decoded at a time.
+DECODED = 1 << 16
 
 
 def default_path() -> str:
@@ -54,6 +61,32 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def _plain_chars() -> dict[int, str]:
+    """The same for str.translate of bytes read as Latin-1."""
+    return dict(enumerate(byte_chars()))
+
+
+def _half_if_full(known: dict) -> None:
+    if len(known) > REMEMBERED:
+        for x in list(itertools.islice(known, REMEMBERED // 2)):
+            del known[x]
+
+
+class Known(dict):
+    """Packed ids of pre-tokens, made when they are first asked for; of long ones nothing is kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids, keep = self.make(word)
+        packed = np.array(ids, "<u4").tobytes()
+        if keep:
+            self[word] = packed
+        return packed
+
+
 class Codec:
     """One tokenizer file; equal in its results to the library's encode and decode."""
 
@@ -61,13 +94,16 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.leaf, self.known = Tokenizer.from_file(path), leaf, {}
+        self.tok, self.leaf, self.known = Tokenizer.from_file(path), leaf, Known(self._word)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         of = {c: b for b, c in enumerate(byte_chars())}
         self.bytes = {i: t.encode() if t in self.special else bytes(of[c] for c in t) for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        #: All of the table's bytes in a row, where each id's begin, and how many they are.
+        self.row, self.size = np.frombuffer(b"".join(self.table), np.uint8), np.array([len(t) for t in self.table])
+        self.begin = np.cumsum(self.size) - self.size
         special = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.find = regex.compile(PATTERN).findall
@@ -79,13 +115,11 @@ class Codec:
 
     def _leaf(self, data: bytes) -> list[int]:
         """BPE of bytes that no pre-tokenizer may cut."""
-        chars = byte_chars()
-        return [t.id for t in self.tok.model.tokenize("".join([chars[b] for b in data]))]
+        return [t.id for t in self.tok.model.tokenize(data.decode("latin-1").translate(_plain_chars()))]
 
     def _agree(self, a: int, b: int) -> bool:
         if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
+            _half_if_full(self.pairs)
             ok = self.pairs[a, b] = self._leaf(self.table[a] + self.table[b]) == [a, b]
         return ok
 
@@ -103,6 +137,8 @@ class Codec:
 
     def tree(self, data: bytes) -> list[int]:
         """The encoding of long unsplit bytes."""
+        if len(data) <= self.leaf:
+            return self._leaf(data) if data else []
         n = 1
         while n * self.leaf < len(data):
             n *= 2
@@ -113,15 +149,13 @@ class Codec:
             level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0] if level else []
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[list[int], bool]:
+        """A pre-token's encoding, and if it is to be remembered."""
         data = word.encode("utf-8", "replace")
         if len(data) > LONGEST:
             ids = self.given.get(hashlib.sha256(data).digest()) if self.given else None
-            return self.tree(data) if ids is None else ids
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.known[word] = self.tree(data)
-        return ids
+            return self.tree(data) if ids is None else ids, False
+        return self.tree(data), True
 
     def long_words(self, text: str, spread: int) -> list[bytes]:
         """The different pre-tokens of more than so many bytes."""
@@ -130,23 +164,36 @@ class Codec:
         return [data for data in (w.encode("utf-8", "replace") for w in sorted(words)) if len(data) > spread]
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each, the least byte first."""
         if self.cut and self.cut.search(text):
             out, at = [], 0
             for m in self.cut.finditer(text):
-                out += self._plain(text[at : m.start()])
-                out.append(self.special[m[0]])
+                out += [self._plain(text[at : m.start()]), np.uint32(self.special[m[0]]).astype("<u4").tobytes()]
                 at = m.end()
-            return out + self._plain(text[at:])
+            return b"".join([*out, self._plain(text[at:])])
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[int]:
-        out, known, word = [], self.known, self._word
-        for w in self.find(text):
-            out += known.get(w) or word(w)
+    def _plain(self, text: str) -> bytes:
+        out = b"".join(map(self.known.__getitem__, self.words(text)))
+        _half_if_full(self.known)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        return _ASCII.findall(text) if text.isascii() and not _CONTROL.search(text) else self.find(text)
+
+    def decode(self, ids) -> str:
+        """The text of ids; as many of them at a time as take bounded memory."""
+        ids, out = np.asarray(ids, np.int64), []
+        for k in range(0, len(ids), DECODED):
+            part = ids[k : k + DECODED]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            out.append(self.row[np.repeat(self.begin[part] - (ends - size), size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -207,9 +254,10 @@ def encoded(docs: DataFrame, path: str | None = None, leaf: int = LEAF, with_ids
             rows = []
             for text, given in zip(pdf["text"], pdf["given"], strict=True):
                 c.given = {bytes(x["word"]): [int(i) for i in x["ids"]] for x in given} if given is not None else {}
-                ids = c.encode(text or "")
-                row = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
+                packed = c.packed(text or "")
+                ids = np.frombuffer(packed, "<u4")
+                row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "replace")).hexdigest())
+                rows.append((*row, ids.tolist()) if with_ids else row)
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(object))
             yield out

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 from metaloom.llm import bpe, decontam, htmlcrf, linededup, simhash, toxicity, warc
@@ -115,3 +117,21 @@ def test_bpe_of_the_given_texts_comes_from_joins(spark):
         assert ids == tok.encode(text, add_special_tokens=False).ids and c.decode(ids) == text
     long = [w for w in c.known if len(w.encode()) > bpe.LEAF]
     assert c.joined >= len(long) > 0.2 * len(c.known)
+
+
+def test_bpe_packs_words_and_cuts_ascii_as_the_pattern_says():
+    r, c = random.Random(23), bpe.Codec(bpe.default_path())
+    for _ in range(3000):
+        text = "".join(r.choices("ab Z9'sdtrevml\t\n\r\x0b\x0c\x1c\x1f\x00\x7f\xa0é.,-  \n", k=r.randint(0, 25)))
+        assert c.words(text) == c.find(text)
+        ids = np.frombuffer(c.packed(text), "<u4")
+        assert c.decode(ids) == text and c.encode(text) == ids.tolist()
+
+
+def test_bpe_keeps_half_of_what_it_remembers_when_that_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    c = bpe.Codec(bpe.default_path())
+    for k in range(60):
+        c.encode(" ".join(f"w{k}x{j}" for j in range(7)))
+        assert 0 < len(c.known) <= 100 + 28
+    assert len(c.known) > 50
