@@ -3,12 +3,13 @@
 Two sets with a likeness of 4/5 share at least 4/5 of the larger one.  So if the shingles are in any order that is the
 same for all documents, the first n - ceil(4n/5) + 1 shingles of the one and of the other have one in common (prefix
 filtering).  Documents that meet under such a shingle are candidates, and the intersection of their whole sets decides.
-A 64-bit SimHash can't replace the filter: at this likeness it differs in about ten bits, and in any number now and then.
+A 64-bit SimHash alone can't find all of them: at this likeness it differs in about ten bits, and in any number now and then.
+So sets whose SimHashes link come first: whole sets decide on each link, and what that unites is not compared again.  The
+filter finds the rest.
 
 The order is that of hashes, with shingles that many rows hold at its end, the most frequent last; an order changes
-which candidates meet, never the result.  Equal sets are one row.  Each candidate is first held against one set under
-its shingle, and what that unites is not compared again.  What is left under a shingle is cut in blocks, and each pair
-of blocks returns a spanning forest of its possible links.  If all of those hold, the components are known, so dense
+which candidates meet, never the result.  Equal sets are one row.  What is left under a shingle is cut in blocks, and
+each pair of blocks returns a spanning forest of its possible links.  If all of those hold, the components are known, so dense
 groups cost about as many links as they have members.  If one does not, the sets whose shingles are still in doubt come
 again with wide bitmaps, under which hardly a pair is possible that is not alike.  A shingle takes a forest again as long
 as the last one united something there; one at which all was refuted is settled by each possible link between
@@ -26,6 +27,7 @@ fewer than five words is one shingle.  Rows with one doc_id are one node.  A nul
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -83,8 +85,15 @@ def _bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is in over half of the shingles."""
+    counts = np.unpackbits(s.view(np.uint8).reshape(len(s), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(s), bitorder="little").view(np.int64)[0])
+
+
 def prefixes(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc, k, n, bits, prefix): the key of each row's set, its size and bitmap, and the shingles by which it is met.
+    """(doc, k, n, fp, bits, prefix): the key of each row's set, its size, SimHash and bitmap, and the shingles by which it
+    is met.
 
     hot has the shingles at the end of the order, in order.
     """
@@ -96,14 +105,14 @@ def prefixes(rows: DataFrame, hot: np.ndarray) -> DataFrame:
             out = []
             for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
                 s = shingles(text)
-                k, n, bits = _key(s), len(s), _bits(s)
+                k, n, fp, bits = _key(s), len(s), _fingerprint(s), _bits(s)
                 if len(values) and n:
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     s = s[np.argsort(np.where(values[at] == s, by_value[at], -1), kind="stable")]
-                out.append((doc, k, n, bits, s[: n - (4 * n + 4) // 5 + 1].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc", "k", "n", "bits", "prefix"])
+                out.append((doc, k, n, fp, bits, s[: n - (4 * n + 4) // 5 + 1].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc", "k", "n", "fp", "bits", "prefix"])
 
-    return rows.mapInPandas(run, "doc long, k long, n int, bits array<long>, prefix array<long>")
+    return rows.mapInPandas(run, "doc long, k long, n int, fp long, bits array<long>, prefix array<long>")
 
 
 def _hot(rows: DataFrame) -> np.ndarray:
@@ -162,14 +171,6 @@ def _differing(a: str, b: str) -> Column:
     return same.when(F.size(a) > F.size(b), ones(xor(half(a), F.col(b)))).otherwise(ones(xor(F.col(a), half(b))))
 
 
-def _possible(a: str, b: str) -> Column:
-    """If sizes, places of a first common shingle in both orders and few bits leave room for a likeness of 4/5."""
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    room = (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - F.col(f"at{a}"), m - F.col(f"at{b}")) >= 4 * (n + m))
-    differing = sum(F.bit_count(F.col(f"f{i}{a}").bitwiseXOR(F.col(f"f{i}{b}"))) for i in range(FEW))
-    return room & (9 * differing <= n + m)
-
-
 def _few() -> list[Column]:
     """The whole bitmap folded to FEW longs."""
 
@@ -180,12 +181,6 @@ def _few() -> list[Column]:
     return [part(i).alias(f"f{i}") for i in range(FEW)]
 
 
-def _apart(met: DataFrame) -> DataFrame:
-    """The pairs u < v, once each, that may be alike and have different labels."""
-    met = met.filter((F.col("lu") != F.col("lv")) & _possible("u", "v"))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def _several(met: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of met with the label of their component, where sets of several components have a shingle."""
     labels = components(found).withColumnRenamed("node", "k")
@@ -243,7 +238,8 @@ class _Wide:
 
 
 def _could(n, at, bits, i, j) -> np.ndarray:
-    """_possible for rows i (or one row) and rows j."""
+    """If sizes, places of a first common shingle in both orders and few bits leave room for a likeness of 4/5, for rows i
+    (or one row) and rows j."""
     least, most, both = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), n[i] + n[j]
     out = (5 * least >= 4 * most) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * both)
     room = np.flatnonzero(out)
@@ -350,32 +346,40 @@ def _wide(nodes: DataFrame) -> DataFrame:
     return nodes.select("k", F.pandas_udf(folded, "array<long>")("bits").alias("wide"))
 
 
-def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between ids, with the components of all pairs of a likeness of 4/5."""
+def _close(nodes: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v), u < v: sets whose fingerprints are one, each with the first of them, or linked, each fingerprint by its first."""
+    first = saved(nodes.groupBy("fp").agg(F.min("k").alias("first")), "fingerprints")
+    equal = nodes.select("k", "fp").join(first, "fp").select(F.col("first").alias("u"), F.col("k").alias("v"))
+    pairs = linked(first.select("fp"))
+    pairs = pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
+    out = equal.union(pairs.select("u", "v")).filter("u != v")
+    out = saved(out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "near-fingerprints")
+    discard(first)
+    return out
+
+
+def links(docs: DataFrame, linked: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """(u, v): links between ids, with the components of all pairs of a likeness of 4/5.
+
+    linked gives links (a, b) between near fingerprints of a table (fp).
+    """
     small_batches(docs.sparkSession)
     rows = _texts(docs)
     # Equal sets are one: the key's smallest document stands for it.
     sets = saved(prefixes(rows, _hot(rows)), "prefixes")
-    unique = saved(sets.groupBy("k").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "unique")
-    nodes = unique.select("k", "doc", "n", "bits")
+    unique = saved(sets.groupBy("k").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix"))), "unique")
+    nodes = unique.select("k", "doc", "n", "fp", "bits")
     equal = saved(sets.select("k", F.col("doc").alias("v")).join(nodes.select("k", "doc"), "k").filter("doc < v").select(F.col("doc").alias("u"), "v").distinct(), "equal")
     discard(sets)
+    # Near fingerprints first: what they link and whole sets confirm is united, and not compared again.
+    close = _close(nodes, linked)
+    small_batches(docs.sparkSession)
+    found = _alike(rows, nodes, close)
+    discard(close)
     shared = saved(unique.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s"), "shared")
     met = unique.select("k", "n", "prefix", *_few()).select("k", "n", *FOLDED, F.posexplode("prefix").alias("at", "s"))
     met = saved(met.join(shared, "s").withColumn("every", F.lit(False)), "met")
     discard(shared)
-
-    def end(df, x, *more):
-        return df.select("s", *more, *(F.col(c).alias(c + x) for c in ("k", "n", "at", *FOLDED)), F.col("k").alias(x))
-
-    # Every set is held against one under its shingle; what is alike is united.
-    labelled = met.withColumn("label", F.col("k"))
-    one = labelled.groupBy("s").agg(F.min_by(F.struct("k", "n", "at", "label", *FOLDED), F.xxhash64("k")).alias("x")).select("s", "x.*")
-    one = saved(one, "one")
-    star = _apart(end(labelled, "u", F.col("label").alias("lu")).join(end(one, "v", F.col("label").alias("lv")), "s"))
-    star = saved(star, "star")
-    found = _alike(rows, nodes, star)
-    discard(star, one)
     # What has different labels still is held against each other in blocks, as far as a forest needs.
     several = _several(met, found)
     tree = _blocked(several, block, _Folded)
@@ -398,6 +402,6 @@ def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return equal.union(found.select("a", "b"))
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
+def later_copies(docs: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The ids (null as known_id has it) that are not the smallest of their component."""
-    return components(links(docs)).filter("label < node").select("node")
+    return components(links(docs, linked)).filter("label < node").select("node")

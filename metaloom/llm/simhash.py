@@ -183,9 +183,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest id, as it is; rows that repeat its id and text are one.
 
-    Components here are of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+    Components here are of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.  The SimHashes of
+    the sets are linked as fingerprints are in ``links``, and whole sets decide on each link; a prefix filter adds the
+    pairs of that likeness that lie more than three bits apart.
     """
     (key,) = unused(docs, "id")
-    gone = later_copies(docs).withColumnRenamed("node", key)
+    gone = later_copies(docs, links).withColumnRenamed("node", key)
     rows = docs.withColumn(key, known_id())
     return rows.join(gone, key, "left_anti").dropDuplicates([key, "text"]).select(docs.columns)

@@ -23,6 +23,7 @@ columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.base import mixed, small_batches
+from metaloom.llm.base import mixed, rows_of, small_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 TARGETED, NEGATED, REPORTED = 1, 2, 4
@@ -304,9 +305,15 @@ def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBou
     if not taken:
         return Grammar()
     few = docs.sparkSession.createDataFrame(pd.DataFrame(sorted(set(taken)), columns=["doc_id", "toxic"]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fitted([r["text"] for r in rows], np.array([r["toxic"] for r in rows], float))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        own = sorted(((r.doc_id, r.text or "", r.toxic) for r in rows_of(batches)), key=lambda r: r[:2])
+        yield pd.DataFrame({"grammar": [pickle.dumps(fitted([r[1] for r in own], np.array([r[2] for r in own], float)))]})
+
+    # The bounded sample is one task's, so that neither its texts nor what training takes are in the driver.
+    return pickle.loads(rows.repartition(1).mapInPandas(run, "grammar binary").first()[0])
 
 
 def scored(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataFrame:

@@ -122,3 +122,38 @@ def test_wide_bitmaps_of_neighbouring_sizes():
         for j, b in enumerate(sets):
             assert got[j] == 1 << 40 or got[j] <= len(np.setxor1d(a, b))
             assert got[j] < 1 << 40 or max(len(a), len(b)) > 1.25 * min(len(a), len(b))
+
+
+def test_near_fingerprints_are_united_before_the_filter(spark, monkeypatch):
+    r = random.Random(2)
+    texts = []
+    for _ in range(5):  # long texts with an edit or none at their end: few bits of the fingerprint change
+        words = [f"w{r.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words, "end"]), " ".join([*words, "other", "end"])]
+    found, alike, linked = [], [], simhash.links
+    confirmed = jaccard._alike
+
+    def watched(fps, *more):
+        out = linked(fps, *more)
+        found.append(out.count())
+        return out
+
+    def decided(*a):
+        out = confirmed(*a)
+        alike.append((a[2].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "links", watched)
+    monkeypatch.setattr(jaccard, "_alike", decided)
+    got = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert got == brute_smallest(list(range(len(texts))), texts) == {0, 3, 6, 9, 12}
+    assert found[0] + alike[0][0] > 0 and alike[0][1] > 0
+    assert alike[1][0] < 10  # the filter meets only what is not united yet
+
+
+def test_fingerprints_of_sets():
+    r = random.Random(4)
+    s = np.unique(np.array([r.getrandbits(64) for _ in range(101)], np.uint64))
+    want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s))
+    assert jaccard._fingerprint(s) % (1 << 64) == want
+    assert jaccard._fingerprint(np.zeros(0, np.uint64)) == 0
