@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.tables import materialized, shared_dir
 from metaloom.operators.registry import query
-from metaloom.operators.search import cosine, first_k
+from metaloom.operators.search import dense_top, first_k
 
 SCHEMA = "page long, vec array<double>, cell int"
 
@@ -124,17 +124,14 @@ def stored(spark: SparkSession, at: str) -> DataFrame:
 def nearest(spark: SparkSession, at: str, queries: DataFrame, k: int = 10, probe: int | None = None) -> DataFrame:
     """(query, page, score, rank): of each query (query, qvec) the first k vectors of its nearest cells, by exact cosine.
 
-    Only the cells that some query asks for are read.  A cell's rows are dealt to several tasks, with its queries beside
-    each part, so a large cell is no single task's.
+    Only the cells that some query asks for are read.  Their rows are dealt out to all tasks, so a large cell is no single
+    task's; a query meets the rows of its own cells only.
     """
     c, fitted = stored_fit(spark, at)
-    asked = _with_cells(_clean(queries, "query", "qvec"), "qvec", c, probe or fitted, "near").select("query", "qvec", F.explode("near").alias("cell"))
+    asked = _with_cells(_clean(queries, "query", "qvec"), "qvec", c, probe or fitted, "near").select("query", "qvec", "near")
     asked = materialized(asked, "asked")
-    cells = [r[0] for r in asked.select("cell").distinct().collect()]  # at most as many as there are centroids
-    parts = 16
-    rows = stored(spark, at).filter(F.col("cell").isin(cells)).withColumn("part", F.pmod(F.xxhash64("page"), F.lit(parts)))
-    pairs = rows.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["cell", "part"])
-    scored = pairs.select("query", "page", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score")).filter("score IS NOT NULL")
+    cells = [r[0] for r in asked.select(F.explode("near")).distinct().collect()]  # at most as many as there are centroids
+    scored = dense_top(stored(spark, at).filter(F.col("cell").isin(cells)), asked, k).filter("score IS NOT NULL")
     return first_k(scored, k, ["query"], F.desc("score"), "page")
 
 

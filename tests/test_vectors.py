@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaloom.operators import vectors
+from metaloom.operators import search
 from metaloom.operators.search import dense, first_k
 
 SF = "/root/testdata/sf0.01"
@@ -75,3 +76,17 @@ def test_odd_vectors(spark, tmp_path):
     assert sorted(got, key=str) == [(6, 1.0), (6, 1.0), (None, 0.8)]
     vectors.build(odd.limit(0), f"file://{tmp_path}/none")
     assert vectors.nearest(spark, f"file://{tmp_path}/none", asked).count() == 0
+
+
+@pytest.mark.parametrize("most, few", [(10_000, 2048), (3, 4)])
+def test_firsts_from_matrices_equal_the_scan(spark, monkeypatch, most, few):
+    monkeypatch.setattr(search, "DENSE_VECTORS", few)
+    monkeypatch.setattr(search, "DENSE_QUERIES", few)
+    r = np.random.default_rng(5)
+    vecs = [[float(v) for v in r.normal(size=4)] for _ in range(60)]
+    vecs += [vecs[3]] * 30 + [[2 * v for v in vecs[3]]] * 5  # many copies, and ties
+    vecs += [[v + 1e-9 for v in vecs[3]], [0.0] * 4, None, [1.0, None, 2.0, 3.0], [1.0, 2.0], [float("nan")] * 4, [1e200, 0.0, 0.0, 0.0], []]
+    rows = spark.createDataFrame(list(enumerate(vecs)), "page long, vec array<double>")
+    asked = rows.filter("page % 6 = 3 OR page > 90").selectExpr("page AS query", "vec AS qvec")
+    both = [sorted(first_k(x, 7, ["query"], F.desc("score"), "page").collect(), key=repr) for x in (dense(rows, asked), search.dense_top(rows, asked, 7, most))]
+    assert repr(both[0]) == repr(both[1]) and len(both[0]) == 7 * asked.count()
