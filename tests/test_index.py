@@ -88,3 +88,28 @@ def test_other_errors_are_no_missing_index(spark, tmp_path):
     (tmp_path / "manifests" / "part-0.parquet").write_text("no parquet file")
     with pytest.raises(Exception, match="(?i)parquet"):
         index.state(objects(spark, 1), f"file://{tmp_path}")
+
+
+def test_trigrams_lead_to_blocks_and_not_to_each_value(spark):
+    """The table of trigrams is far smaller than the postings, which repeat prefixes and digits; all are found."""
+    rows = spark.range(20_000).selectExpr("'D' || id AS id", "'O' || id AS name", "'Document' AS kind", "'AUTO' || id % 7 AS synonym", "'Документы.O' || id AS full_name_ru", "'Document.O' || id AS full_name_eng")
+    at = f"{shared_dir(spark)}/index-blocks"
+    index.build(rows, at, buckets=4, dictionaries=("values",))
+    i = index.Index(spark, at)
+    posts, grams = i.table("values/postings"), i.table("values/grams")
+    assert posts.count() == 80_000 and posts.select("block").distinct().count() >= 80_000 >> index.BLOCK_BITS
+    assert grams.count() < posts.count()
+    for text, n in (("auto3", 2857), ("ДОКУМЕНТЫ.O1999", 11), ("o1999", 11), ("t.o", 20_000), ("19999", 1), ("o3t", 0)):
+        path, got = index.holding(rows, at, text)
+        assert (path, got.count(), got.distinct().count()) == ("index", n, n), text
+
+
+def test_one_dictionary_is_built_and_the_other_is_missing(spark):
+    rows, at = objects(spark, 30), f"{shared_dir(spark)}/index-one"
+    index.ensured(rows, at, dictionaries=("words",))
+    assert index.state(rows, at, dictionaries=("words",)) == "ready" and index.state(rows, at, dictionaries=("values",)) == "missing"
+    assert index.search(rows, at, "order", [])[0] == "index" and index.holding(rows, at, "order")[0] == "scan"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        index.Index(spark, at).table("values/grams").count()
+    index.ensured(rows, at)
+    assert index.holding(rows, at, "order")[0] == "index"
