@@ -22,6 +22,8 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from metaloom.operators.search import EXACT, FUZZY, FUZZY_LENGTH, PREFIX, name_h
 BUCKETS = 64
 #: Postings of a block of values are 2 to this power.
 BLOCK_BITS = 12
+#: Characters of a block's values after which its trigrams are passed on.
+HELD_CHARS = 1 << 20
 DICTIONARIES = ("words", "values")
 FIELDS = ("name", "synonym", "full_name_ru", "full_name_eng")
 COLUMNS = ("id", "name", "kind", "synonym")
@@ -65,9 +69,44 @@ def _word_pieces(key: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("^"), F.left(key, F.lit(1))), F.concat(F.lit("^"), F.left(key, F.lit(2))), F.concat(F.right(key, F.lit(2)), F.lit("$"))))
 
 
-def _trigrams(key: Column) -> Column:
-    n = F.char_length(key)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: key.substr(i, F.lit(3))))).otherwise(F.array())
+def _distinct_trigrams(values: list[str]) -> list[str]:
+    """The distinct runs of three code points within values."""
+    lengths = np.array([len(v) for v in values], np.int64)
+    code = np.frombuffer("".join(values).encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(code) < 3:
+        return []
+    ends, fits = np.cumsum(lengths)[lengths > 0], np.ones(len(code), bool)
+    fits[ends - 1] = fits[np.maximum(ends - 2, 0)] = False  # none runs on into the next value
+    three = np.unique((code[:-2] << 42 | code[1:-1] << 21 | code[2:])[fits[:-2]])
+    flat = np.stack([three >> 42, three >> 21 & 0x1FFFFF, three & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [flat[k : k + 3] for k in range(0, len(flat), 3)]
+
+
+def _block_trigrams(most: int):
+    """A function of Arrow batches of postings (key, bucket, block), the rows of a block one after the other, that gives
+    (home, block, gram): each trigram of a block once, or once for each so many characters, or each task that reads of it."""
+
+    def rows(own, keys):
+        grams = _distinct_trigrams(keys)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), own[0], np.int32)), pa.array(np.full(len(grams), own[1], np.int64)), pa.array(grams, pa.string())], ["home", "block", "gram"])
+
+    def run(batches):
+        held, keys, chars = None, [], 0
+        for batch in batches:
+            home, block = (batch[c].to_numpy(zero_copy_only=False) for c in ("bucket", "block"))
+            cuts = (np.flatnonzero((np.diff(home) != 0) | (np.diff(block) != 0)) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, len(home)], strict=True):
+                own = (home[start], block[start]) if start < stop else held
+                if keys and (own != held or chars > most):
+                    yield rows(held, keys)
+                    keys, chars = [], 0
+                held = own
+                more = [v.decode("utf-8", "replace") for v in batch["key"].slice(start, stop - start).unique().cast(pa.binary()).to_pylist()]
+                keys, chars = keys + more, chars + sum(map(len, more))
+        if keys:
+            yield rows(held, keys)
+
+    return run
 
 
 def _write(df: DataFrame, at: str, key: str, **numbers: Column):
@@ -96,7 +135,7 @@ def build(objects: DataFrame, at: str, buckets: int = BUCKETS, version: str | No
         block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
         _write(values.withColumn("bucket", bucket("key", buckets)), f"{folder}/values/postings", "key", block=block)
         posts = spark.read.schema("key string, block long, bucket int").parquet(f"{folder}/values/postings")
-        grams = posts.select(F.col("bucket").alias("home"), "block", F.explode(_trigrams(F.col("key"))).alias("gram")).distinct()
+        grams = posts.mapInArrow(_block_trigrams(HELD_CHARS), "home int, block long, gram string")
         _write(grams.withColumn("bucket", bucket("gram", buckets)), f"{folder}/values/grams", "gram")
     manifest = spark.range(1).select(F.lit(own).alias("folder"), F.lit(version).alias("version"), F.lit(buckets).alias("buckets"), F.array(*map(F.lit, dictionaries)).alias("dictionaries"), F.current_timestamp().alias("at"))
     manifest.coalesce(1).write.mode("append").parquet(f"{at}/manifests")
@@ -169,7 +208,7 @@ class Index:
         """(id, name, kind, synonym) of all objects with a name field that holds a text of three characters or more."""
         low = text.lower()
         grams = list(dict.fromkeys(low[k : k + 3] for k in range(len(low) - 2)))
-        blocks = self.keys_of("values", grams).groupBy("home", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
+        blocks = self.keys_of("values", grams).groupBy("home", "block").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
         blocks = materialized(blocks.select("home", "block"), "blocks")
         at = [r[0] for r in blocks.select("home").distinct().collect()]
         posts = self.table("values/postings").filter(F.col("bucket").isin(at) & F.contains("key", F.lit(low)))

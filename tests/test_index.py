@@ -113,3 +113,35 @@ def test_one_dictionary_is_built_and_the_other_is_missing(spark):
         index.Index(spark, at).table("values/grams").count()
     index.ensured(rows, at)
     assert index.holding(rows, at, "order")[0] == "index"
+
+
+def test_trigrams_of_values(monkeypatch):
+    r = random.Random(4)
+    values = ["".join(r.choices("abя\0𝄞", k=r.randint(0, 6))) for _ in range(200)]
+    want = {v[k : k + 3] for v in values for k in range(len(v) - 2)}
+    got = index._distinct_trigrams(values)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [index._distinct_trigrams(x) for x in ([], [""], ["ab"], ["a", "bc", "d"], ["", "abc", ""])] == [[], [], [], [], ["abc"]]
+
+
+@pytest.mark.parametrize("chars", [0, index.HELD_CHARS])
+def test_trigrams_are_made_one_within_a_task_and_may_come_again(spark, monkeypatch, chars):
+    """A block passes on its distinct trigrams, not a row for each trigram of each value; those of a block whose rows
+    several tasks or batches read are found all the same."""
+    assert "_block_trigrams" in index.build.__code__.co_names
+    monkeypatch.setattr(index, "HELD_CHARS", chars)
+    rows, at = objects(spark, 300), f"{shared_dir(spark)}/index-split-{chars}"
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    before = {c: spark.conf.get(c) for c in limits}
+    try:
+        for c, v in limits.items():
+            spark.conf.set(c, v)
+        index.build(rows, at, buckets=2, dictionaries=("values",))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    grams = index.Index(spark, at).table("values/grams").select("home", "block", "gram")
+    assert (grams.count() > grams.distinct().count()) == (chars == 0)
+    for text in ("ORD", "ники.", "x.c12", "zzz", "складтовар"):
+        path, got = index.holding(rows, at, text)
+        assert path == "index" and sorted(map(repr, got.collect())) == sorted(map(repr, index.holding(rows, at + "-none", text)[1].collect()))
