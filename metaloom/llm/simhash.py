@@ -160,7 +160,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
     # A key with a single fingerprint, or with flips only, links nothing.
     sizes = sizes.filter((F.col("n") > 1) & (F.col("n_own") > 0))
-    met = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Spark takes the keys for as many as the fingerprints, of which each has up to 68: never sent to all tasks by that guess.
+    met = keys.hint("merge").join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "fp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).distinct()
@@ -175,8 +176,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = links(fps, block)
     found = found.join(nodes.select(F.col("fp").alias("a"), F.col("id").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("id").alias("v")), "b")
     labels = components(found.select("u", "v"))
-    named = nodes.join(labels, nodes["id"] == labels["node"], "left").select("fp", F.coalesce("label", "id").alias("component"))
-    both = fps.join(named, "fp")
+    named = nodes.hint("merge").join(labels, nodes["id"] == labels["node"], "left").select("fp", F.coalesce("label", "id").alias("component"))
+    both = fps.hint("merge").join(named, "fp")
     return both.select(real_id("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component").alias("component_id"))
 
 
