@@ -10,15 +10,20 @@ Facts form a lattice: no kind, one kind with its highest confidence, AMBIGUOUS.
 stays and is passed on like a kind.  The least fix-point is unique, whatever the order of rounds, so it can be
 maintained: when modules change, only what their rows had a part in is derived again.
 
-Each round joins the flows with the facts that the round before has changed, and nothing else (semi-naive); around a
-cycle confidence only falls, so rounds end.  Flows and seeds carry the module that they come from (the derivation table).
+Nodes and flows are dealt to parts of a bounded number of flows, by callable.  A round goes through all parts at once: each
+takes what others have told it, passes on what that changes within itself until nothing changes (semi-naive), and tells other
+parts of the changes once.  So rounds grow with the calls from part to part on a path, not with its steps, and small tables
+take one.  Around a cycle confidence only falls, so rounds end.  Flows and seeds carry the module that they come from (the
+derivation table).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions import code
@@ -29,8 +34,12 @@ from metaloom.operators.registry import query
 
 #: Confidence in hundredths, of a constructor, a manager's object and a literal, and what a step loses (fixed values).
 CONSTRUCTED, MANAGED, LITERAL, COPIED, PASSED = 95, 90, 90, 5, 10
-#: Tables of changed facts that are merged into one when so many have gathered.
-GATHERED = 8
+#: Flows in one part, on average.
+PART = 250_000
+#: Codes of no kind and of AMBIGUOUS; those of kinds are positive.
+NONE, BOTH = 0, -1
+#: Rows of a part: its flows, its facts, and what it is told; arrays as bytes.
+PACKED = "part int, what string, a binary, b binary, c binary, d binary"
 #: Most rows of a table that is sent to all tasks.
 FEW = 50_000
 IDENTIFIER = r"^[\p{L}_][\p{L}\p{N}_]*$"
@@ -104,11 +113,11 @@ def flows(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialized(seeds.filter("kind IS NOT NULL").distinct(), "seeds"), materialized(edges.distinct(), "flows")
 
 
-def joined(facts: DataFrame, *more: Column) -> DataFrame:
+def joined(facts: DataFrame) -> DataFrame:
     """(node, kind, sure): the least upper bound of the facts of each node; AMBIGUOUS has no confidence."""
-    by = facts.groupBy("node").agg(F.min("kind").alias("a"), F.max("kind").alias("b"), F.max("sure").alias("c"), *more)
+    by = facts.groupBy("node").agg(F.min("kind").alias("a"), F.max("kind").alias("b"), F.max("sure").alias("c"))
     kind = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(AMBIGUOUS)
-    return by.select("node", kind.alias("kind"), F.when(kind != AMBIGUOUS, F.col("c")).alias("sure"), *by.columns[4:])
+    return by.select("node", kind.alias("kind"), F.when(kind != AMBIGUOUS, F.col("c")).alias("sure"))
 
 
 def _passed(edges: DataFrame, facts: DataFrame, rows: int | None = None) -> DataFrame:
@@ -116,32 +125,115 @@ def _passed(edges: DataFrame, facts: DataFrame, rows: int | None = None) -> Data
     return edges.select("src", "dst", "loss").join(_side(facts.withColumnRenamed("node", "src"), rows), "src").select(F.col("dst").alias("node"), "kind", F.greatest(F.col("sure") - F.col("loss"), F.lit(0)).alias("sure"))
 
 
-def _latest(changes: list[DataFrame], among: DataFrame | None = None) -> DataFrame:
-    """The facts after a list of changes, of which the last one of a node counts; of some nodes only, if they are given."""
-    every = reduce(DataFrame.unionByName, (c.withColumn("round", F.lit(k)) for k, c in enumerate(changes)))
-    every = every if among is None else every.join(among, "node", "left_semi")
-    return every.groupBy("node").agg(F.max_by(F.struct("kind", "sure"), "round").alias("x")).select("node", "x.kind", "x.sure")
+def _raised(kind: np.ndarray, sure: np.ndarray, at: np.ndarray, kinds: np.ndarray, sures: np.ndarray) -> np.ndarray:
+    """Joins facts of nodes ``at`` into the arrays of all nodes; the nodes that this changes."""
+    if not len(at):
+        return at
+    order = np.argsort(at, kind="stable")
+    at, kinds, sures = at[order], kinds[order], sures[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    node, low, high, top = at[first], np.minimum.reduceat(kinds, first), np.maximum.reduceat(kinds, first), np.maximum.reduceat(sures, first)
+    was, had = kind[node] != NONE, (kind[node], sure[node])
+    low, high, top = np.where(was, np.minimum(low, had[0]), low), np.where(was, np.maximum(high, had[0]), high), np.where(was, np.maximum(top, had[1]), top)
+    now = np.where(low == high, low, BOTH)
+    top = np.where(now == BOTH, 0, top)
+    changed = (now != had[0]) | (top != had[1])
+    kind[node], sure[node] = now, top
+    return node[changed]
+
+
+def _out_of(starts: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the flows that leave some nodes, and their nodes."""
+    n = starts[front + 1] - starts[front]
+    return np.repeat(starts[front] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(front, n)
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a part: its flows by source, its facts, and what it is told first."""
+    part, of = int(rows["part"].iloc[0]), {what: x for what, x in rows.groupby("what")}
+    n, none = int(of["size"]["a"].iloc[0]), rows.iloc[:0]
+    ints = lambda x, c, kind=np.int64: x[c].to_numpy(kind)
+    edges = of.get("edges", none).sort_values("a", kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(ints(edges, "a"), minlength=n))].astype(np.int64)
+    out = [(part, "edges", starts.tobytes(), ints(edges, "b", np.int32).tobytes(), ints(edges, "c").tobytes(), ints(edges, "d").tobytes())]
+    kind, sure = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    known, told = of.get("state", none), of.get("told", none)
+    kind[ints(known, "a")], sure[ints(known, "a")] = ints(known, "b"), ints(known, "d")
+    out.append((part, "state", kind.tobytes(), sure.tobytes(), None, None))
+    out.append((part, "told", ints(told, "a").tobytes(), ints(told, "b").tobytes(), ints(told, "d").tobytes(), None))
+    return pd.DataFrame(out, columns=["part", "what", "a", "b", "c", "d"])
+
+
+def _stepped(rows: pd.DataFrame) -> pd.DataFrame:
+    """The facts of a part when all that it is told has been passed on within it, and what it tells other parts."""
+    part, of = int(rows["part"].iloc[0]), {what: x for what, x in rows.groupby("what")}
+    ints = lambda x, kind=np.int64: np.frombuffer(x, kind)
+    state, edges = of["state"].iloc[0], of["edges"].iloc[0]
+    kind, sure, out = ints(state["a"]).copy(), ints(state["b"]).copy(), []
+    if "told" in of:
+        starts, to_part, to, loss = ints(edges["a"]), ints(edges["b"], np.int32), ints(edges["c"]), ints(edges["d"])
+        moved = np.zeros(len(kind), bool)
+        front = _raised(kind, sure, *(np.concatenate([ints(x) for x in of["told"][c]]) for c in "abc"))
+        while len(front):
+            moved[front] = True
+            e, src = _out_of(starts, front)
+            e, src = e[to_part[e] == part], src[to_part[e] == part]
+            front = _raised(kind, sure, to[e], kind[src], np.maximum(sure[src] - loss[e], 0))
+        e, src = _out_of(starts, np.flatnonzero(moved))
+        e, src = e[to_part[e] != part], src[to_part[e] != part]
+        for p in np.unique(to_part[e]):
+            mine = to_part[e] == p
+            x, y = e[mine], src[mine]
+            nodes, place = np.unique(to[x], return_inverse=True)
+            kinds, sures = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+            _raised(kinds, sures, place, kind[y], np.maximum(sure[y] - loss[x], 0))
+            out.append((int(p), "told", nodes.tobytes(), kinds.tobytes(), sures.tobytes(), None))
+    out.append((part, "state", kind.tobytes(), sure.tobytes(), None, None))
+    return pd.DataFrame(out, columns=["part", "what", "a", "b", "c", "d"])
+
+
+def _facts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The facts in the rows of parts."""
+    for rows in batches:
+        for part, a, b in zip(rows["part"], rows["a"], rows["b"], strict=True):
+            kind, sure = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            at = np.flatnonzero(kind != NONE)
+            for k in range(0, len(at), PART):
+                x = at[k : k + PART]
+                yield pd.DataFrame({"part": np.full(len(x), part, np.int32), "at": x, "code": kind[x], "sure": sure[x].astype(np.int32)})
 
 
 def _closed(known: DataFrame | None, more: DataFrame, edges: DataFrame) -> DataFrame:
     """The least facts with those known, which are closed but for ``more``, under the flows."""
-    changes = [] if known is None else [known]
-    while True:
-        more = joined(more)
-        if changes:
-            # Only nodes to which something was passed are looked up among the facts.
-            now = _latest(changes, more.select("node")).withColumn("old", F.struct("kind", "sure"))
-            both = more.withColumn("old", F.lit(None).cast("struct<kind:string,sure:int>")).unionByName(now)
-            more = joined(both, F.max("old").alias("old"))
-            more = more.filter(~F.struct("kind", "sure").eqNullSafe(F.col("old"))).drop("old")
-        more = materialized(more, "changed")
-        n = more.count()
-        if not n:
-            return materialized(_latest(changes or [more]), "facts")
-        changes.append(more)
-        if len(changes) > GATHERED:
-            changes = [materialized(_latest(changes), "facts")]
-        more = _passed(edges, more, n)
+    facts = materialized(joined(more), "told").withColumn("what", F.lit("told"))
+    facts = facts if known is None else facts.unionByName(known.select("node", "kind", "sure", F.lit("state").alias("what")))
+    parts = -(-edges.count() // PART) or 1
+    part = F.pmod(F.xxhash64(F.substring_index("node", "|", 2)), F.lit(parts)).cast("int")
+    nodes = facts.select("node").union(edges.select("src")).union(edges.select("dst")).distinct().withColumn("part", part)
+    nodes = materialized(nodes.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("node")).cast("long") - 1), "nodes")
+    n = nodes.count()
+    kinds = materialized(facts.select("kind").filter(F.col("kind") != AMBIGUOUS).distinct().withColumn("code", F.monotonically_increasing_id() + 1), "kinds")
+    n_kinds = kinds.count()
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("part").alias(f"{x}_part"), F.col("at").alias(f"{x}_at"))
+    row = lambda what, *x: [F.col("part"), what.alias("what"), *(F.col(v).cast("long").alias(c) if isinstance(v, str) else F.lit(0).cast("long").alias(c) for c, v in zip("abcd", x, strict=True))]
+    ends = edges.select("src", "dst", "loss").join(_side(end("src"), n), "src").join(_side(end("dst"), n), "dst").withColumn("part", F.col("src_part"))
+    coded = facts.join(_side(nodes, n), "node").join(_side(kinds, n_kinds), "kind", "left").withColumn("code", F.coalesce("code", F.lit(BOTH))).withColumn("sure", F.coalesce("sure", F.lit(0)))
+    rows = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(*row(F.lit("size"), "n", 0, 0, 0))
+    rows = rows.union(ends.select(*row(F.lit("edges"), "src_at", "dst_part", "dst_at", "loss"))).union(coded.select(*row(F.col("what"), "at", "code", 0, "sure")))
+    now = packed = materialized(rows.groupBy("part").applyInPandas(_packed, PACKED), "parts")
+    told = True
+    while told:
+        both = packed.filter("what = 'edges'").union(now.filter("what <> 'edges'"))
+        now = materialized(both.groupBy("part").applyInPandas(_stepped, PACKED), "round")
+        told = not now.filter("what = 'told'").isEmpty()
+    found = now.filter("what = 'state'").select("part", "a", "b").mapInPandas(_facts_of, "part int, at long, code long, sure int")
+    found = found.join(_side(nodes, n), ["part", "at"]).join(_side(kinds, n_kinds), "code", "left")
+    return materialized(found.select("node", F.coalesce("kind", F.lit(AMBIGUOUS)).alias("kind"), F.when(F.col("kind").isNotNull(), F.col("sure")).alias("sure")), "facts")
+
+
+def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): start, and all to which flows lead from there."""
+    return _closed(None, start.select("node", F.lit("reached").alias("kind"), F.lit(0).alias("sure")), edges.select("src", "dst", F.lit(0).alias("loss"))).select("node")
 
 
 def inferred_types(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,17 +251,7 @@ def maintained(facts: DataFrame, seeds: DataFrame, edges: DataFrame, changed: Da
     changed = _side(changed)
     gone_seeds, gone_edges = seeds.join(changed, "owner", "left_semi"), edges.join(changed, "owner", "left_semi")
     start = gone_seeds.select("node").union(gone_edges.join(_side(facts.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))).distinct()
-    front = materialized(start, "taken-back")
-    touched, n, total = [front], front.count(), 0
-    while n:
-        total += n
-        beyond = edges.join(_side(front.withColumnRenamed("node", "src"), n), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = materialized(beyond.join(_side(reduce(DataFrame.union, touched), total), "node", "left_anti"), "taken-back")
-        n = front.count()
-        touched.append(front)
-        if len(touched) > GATHERED:
-            touched = [materialized(reduce(DataFrame.union, touched), "taken-back")]
-    taken = materialized(reduce(DataFrame.union, touched), "taken-back")
+    taken = _reached(start, edges)
     total = taken.count()
     seeds = materialized(seeds.join(changed, "owner", "left_anti").unionByName(new_seeds), "seeds")
     edges = materialized(edges.join(changed, "owner", "left_anti").unionByName(new_edges), "flows")
